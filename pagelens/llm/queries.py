@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import ORACLE_OP3, op3_chat_format
 from .packing import op8_packing
 from .pii import op2_pii
 from .sstable import op1_sstable_tokens
@@ -14,8 +15,11 @@ from .token_counts import op10_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable_tokens": op1_sstable_tokens,
     "op2_pii": op2_pii,
+    "op3_chat_format": op3_chat_format,
     "op8_packing": op8_packing,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_chat_format": ORACLE_OP3,
+}
