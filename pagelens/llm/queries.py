@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import ORACLE_OP3, op3_chat_format
+from .langid import op7_language_id
+from .mixing import ORACLE_OP9, op9_mix_sources
 from .packing import op8_packing
 from .pii import op2_pii
 from .sstable import op1_sstable_tokens
@@ -16,10 +18,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable_tokens": op1_sstable_tokens,
     "op2_pii": op2_pii,
     "op3_chat_format": op3_chat_format,
+    "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
+    "op9_mix_sources": op9_mix_sources,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": ORACLE_OP3,
+    "op9_mix_sources": ORACLE_OP9,
 }
