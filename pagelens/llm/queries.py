@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import ORACLE_OP3, op3_chat_format
 from .langid import op7_language_id
+from .media import op6_media
 from .mixing import ORACLE_OP9, op9_mix_sources
 from .packing import op8_packing
 from .pii import op2_pii
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable_tokens": op1_sstable_tokens,
     "op2_pii": op2_pii,
     "op3_chat_format": op3_chat_format,
+    "op6_media": op6_media,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op9_mix_sources": op9_mix_sources,
