@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import ORACLE_OP3, op3_chat_format
+from .embeddings import ORACLE_OP5, op5_embedding_dedup
 from .langid import op7_language_id
 from .media import op6_media
 from .mixing import ORACLE_OP9, op9_mix_sources
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sstable_tokens": op1_sstable_tokens,
     "op2_pii": op2_pii,
     "op3_chat_format": op3_chat_format,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_media": op6_media,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
@@ -28,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": ORACLE_OP3,
+    "op5_embedding_dedup": ORACLE_OP5,
     "op9_mix_sources": ORACLE_OP9,
 }
