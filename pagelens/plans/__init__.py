@@ -1,0 +1,6 @@
+"""Registered queries, by computation family."""
+
+from . import damage
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "damage"]
