@@ -1,6 +1,6 @@
 """Registered queries, by computation family."""
 
-from . import damage
+from . import damage, retrieval_qa, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "damage"]
+__all__ = ["ORACLES", "QUERIES", "damage", "retrieval_qa", "text"]
