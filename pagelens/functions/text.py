@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 #: The ASCII marks and the CJK marks that answer normalisation deletes.
 ASCII_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-CJK_MARKS = "，。！？；：、（）【】《》“”‘’"
+CJK_MARKS = "，。！？；：、（）【】《》“”‘’—…"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; only text with other than ASCII needs it."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
@@ -110,7 +111,7 @@ def similarity(a: str, b: str) -> float:
     return 1.0 if a == b else lcs_length(a, b) / max(len(a), len(b))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def text_similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -124,7 +125,7 @@ def block_matches(a: str, b: str, most: int = 2000) -> int:
     return sum(m.size for m in difflib.SequenceMatcher(None, a[:most], b[:most], autojunk=False).get_matching_blocks())
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def character_loss(truth: pd.Series, found: pd.Series) -> pd.Series:
     """1 minus matched characters over the (cut) truth; 0 for an empty truth, 1 for nothing found."""
 

@@ -1,6 +1,6 @@
 """Registered queries, by computation family."""
 
-from . import damage, retrieval_qa, text
+from . import damage, layout, retrieval_qa, streams, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "damage", "retrieval_qa", "text"]
+__all__ = ["ORACLES", "QUERIES", "damage", "layout", "retrieval_qa", "streams", "text"]

@@ -182,18 +182,18 @@ def join11(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     b = fx.blocks(spark, sf).withColumn("t", tokens(normalize_answer(F.col("text"))))
-    answer = F.when(F.col("pos") % 7 == 3, F.lit("yes")).when(F.col("pos") % 5 == 4, F.lit("")).otherwise(F.array_join(F.slice("t", 3, 3), " "))
+    answer = F.when(F.col("pos") % 7 == 3, F.lit("the paper")).when(F.col("pos") % 5 == 4, F.lit("")).otherwise(F.array_join(F.slice("t", 3, 3), " "))
     page = F.lag("text", 1, "").over(Window.partitionBy("page_id").orderBy("pos"))
     rows = b.select("page_id", "pos", F.array_join(F.slice("t", 1, 3), " ").alias("question"), answer.alias("answer"), normalize_answer(F.col("text")).alias("source"), normalize_answer(F.concat_ws(" ", "text", page)).alias("second"))
     return rows.withColumn("reasons", qa.reject_reasons(F.col("source"), F.col("source"), F.col("second")))
 
 
-@query("prj20_reject_reasons", f"""WITH {QA_SQL}, c AS (SELECT page_id, pos, array_to_string(t[1:3], ' ') AS q, CASE WHEN pos % 7 = 3 THEN 'yes' WHEN pos % 5 = 4 THEN '' ELSE array_to_string(t[3:5], ' ') END AS a, array_to_string(t, ' ') AS s FROM bt),
+@query("prj20_reject_reasons", f"""WITH {QA_SQL}, c AS (SELECT page_id, pos, array_to_string(t[1:3], ' ') AS q, CASE WHEN pos % 7 = 3 THEN 'the paper' WHEN pos % 5 = 4 THEN '' ELSE array_to_string(t[3:5], ' ') END AS a, array_to_string(t, ' ') AS s FROM bt),
 r AS (SELECT page_id, pos, unnest(list_filter([CASE WHEN q = '' THEN 'empty_question' END, CASE WHEN a = '' THEN 'empty_answer' END, CASE WHEN a = '' THEN 'empty_normalized_answer' END,
- CASE WHEN len(list_filter(string_split(a, ' '), lambda x: x <> '')) NOT BETWEEN 2 AND 15 THEN 'bad_length' END, CASE WHEN a = 'yes' THEN 'generic' END, CASE WHEN NOT contains(s, a) THEN 'not_in_source' END, CASE WHEN NOT contains(s, a) THEN 'not_in_first' END], lambda x: x IS NOT NULL)) AS reason FROM c)
+ CASE WHEN len(list_filter(string_split(a, ' '), lambda x: x <> '')) NOT BETWEEN 2 AND 15 THEN 'answer_length_out_of_range' END, CASE WHEN a = 'the paper' THEN 'generic_answer' END, CASE WHEN NOT contains(s, a) THEN 'answer_not_in_source_text' END, CASE WHEN NOT contains(s, a) THEN 'answer_not_in_mineru_text' END], lambda x: x IS NOT NULL)) AS reason FROM c)
 SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def prj20(spark: SparkSession, sf: str) -> DataFrame:
-    rows = candidates(spark, sf).select(F.explode("reasons").alias("reason")).filter(~F.col("reason").isin("not_in_second", "too_many_in_first", "too_many_in_second"))
+    rows = candidates(spark, sf).select(F.explode("reasons").alias("reason")).filter(~F.col("reason").isin("answer_not_in_ppstructure_text", "answer_too_frequent_mineru", "answer_too_frequent_ppstructure"))
     return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
