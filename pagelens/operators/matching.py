@@ -7,7 +7,9 @@ a residual and never a Cartesian product; ties go to the lower adv_id.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,42 +124,50 @@ def mask_metrics(clean: DataFrame, masks: DataFrame, page_w: int = PAGE_W, page_
     return rows.groupBy("page_id", "config_id").agg(F.first(F.greatest(F.lit(0), mask) / float(page_w * page_h)).alias("tor"), F.avg(touched.cast("double")).alias("boc"), F.avg((cover >= 1).cast("double")).alias("eir"))
 
 
+def _boxes(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """A page's blocks as one array in order; pages are the unit of every fold, so the array is a page's size."""
+    item = F.struct(order, "x", "y", "w", "h", F.coalesce("text", F.lit("")).alias("text"))
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(name))
+
+
+def overlap_of(a: dict, b: dict) -> float:
+    """IoU of two blocks given by centre and size."""
+    inter = max(0.0, min(a["x"] + a["w"] / 2, b["x"] + b["w"] / 2) - max(a["x"] - a["w"] / 2, b["x"] - b["w"] / 2)) * max(0.0, min(a["y"] + a["h"] / 2, b["y"] + b["h"] / 2) - max(a["y"] - a["h"] / 2, b["y"] - b["h"] / 2))
+    union = a["w"] * a["h"] + b["w"] * b["h"] - inter
+    return inter / union if union > 0 else 0.0
+
+
+def greedy_rate(clean: list[dict], adv: list[dict]) -> float:
+    """Mean error rate when clean blocks in order each take the best unused perturbed block; a block left alone counts 1."""
+    if not clean:
+        return 0.0
+    free, rates = dict(enumerate(adv)), []
+    for c in clean:
+        text = c["text"].strip().lower()
+        if not text:
+            continue
+        best, taken = 0.0, None
+        for j, b in free.items():
+            if (iou := overlap_of(c, b)) > best:
+                best, taken = iou, j
+        if taken is None:
+            rates.append(1.0)
+        else:
+            rates.append(edit_distance(text, free.pop(taken)["text"].strip().lower()) / len(text))
+    return sum(rates) / len(rates) if rates and adv else 1.0
+
+
 def greedy_cer(clean: DataFrame, adv: DataFrame, pages: DataFrame) -> DataFrame:
-    """delta_cer per (page, config): clean blocks in order each take the best unused perturbed block; a block left alone counts 1.
+    """delta_cer per (page, config) by :func:`greedy_rate`: the order decides, so each page is one fold over its blocks."""
+    rows = pages.select("page_id", "config_id").join(_boxes(clean, ["page_id"], "elem_id", "clean"), "page_id", "left")
+    rows = rows.join(_boxes(adv, ["page_id", "config_id"], "adv_id", "adv"), ["page_id", "config_id"], "left")
 
-    The choice depends on the order, so each page is one fold in pandas; a
-    page's blocks are its group.
-    """
-    def fold(key, clean_rows: pd.DataFrame, adv_rows: pd.DataFrame) -> pd.DataFrame:
-        clean_rows, adv_rows = clean_rows.sort_values("elem_id"), adv_rows.sort_values("adv_id")
-        boxes = [(r.x - r.w / 2, r.y - r.h / 2, r.x + r.w / 2, r.y + r.h / 2, r.text) for r in adv_rows.itertuples()]
-        used, rates = set(), []
-        for r in clean_rows.itertuples():
-            text = (r.text or "").strip()
-            if not text:
-                continue
-            a, best = (r.x - r.w / 2, r.y - r.h / 2, r.x + r.w / 2, r.y + r.h / 2), (0.0, -1)
-            for j, b in enumerate(boxes):
-                if j not in used:
-                    inter = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-                    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
-                    if union > 0 and inter / union > best[0]:
-                        best = inter / union, j
-            if best[1] < 0:
-                rates.append(1.0)
-            else:
-                used.add(best[1])
-                ref, hyp = text.lower(), (boxes[best[1]][4] or "").strip().lower()
-                rates.append(edit_distance(ref, hyp) / len(ref))
-        if not len(clean_rows):
-            value = 0.0
-        else:
-            value = sum(rates) / len(rates) if rates and boxes else 1.0
-        return pd.DataFrame([(*key, value)], columns=["page_id", "config_id", "delta_cer"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = [greedy_rate(c or [], a or []) for c, a in zip(batch.column("clean").to_pylist(), batch.column("adv").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("config_id"), pa.array(value, pa.float64())], names=["page_id", "config_id", "delta_cer"])
 
-    grid = clean.join(pages.select("page_id", "config_id"), "page_id")
-    by = ["page_id", "config_id"]
-    return grid.groupBy(*by).cogroup(adv.groupBy(*by)).applyInPandas(fold, "page_id long, config_id string, delta_cer double")
+    return rows.mapInArrow(run, "page_id long, config_id string, delta_cer double")
 
 
 def config_means(metrics: DataFrame, *columns: str) -> DataFrame:

@@ -24,7 +24,7 @@ def build_blocks(items: Column) -> Column:
     indexed = F.transform(items, lambda i, n: F.struct(normalize_bbox(i.bbox).alias("bbox"), layout_type(i.type).alias("layout_type"), strip(i.text).alias("text"), n.alias("n")))
     kept = F.filter(indexed, lambda i: i.bbox.isNotNull() & (i.text != ""))
     ordered = F.array_sort(F.transform(kept, lambda i: F.struct(i.bbox[1].alias("y"), i.bbox[0].alias("x"), i.n.alias("n"), i.bbox.alias("bbox"), i.layout_type.alias("layout_type"), i.text.alias("text"))))
-    return F.transform(ordered, lambda b, n: F.struct(F.concat(F.lit("b"), F.lpad((n + 1).cast("string"), 4, "0")).alias("block_id"), b.layout_type.alias("layout_type"), b.bbox.alias("bbox"), b.text.alias("text"), F.lit(None).cast("double").alias("confidence"), n.alias("reading_order")))
+    return F.transform(ordered, lambda b, n: F.struct(F.format_string("b%04d", n + 1).alias("block_id"), b.layout_type.alias("layout_type"), b.bbox.alias("bbox"), b.text.alias("text"), F.lit(None).cast("double").alias("confidence"), n.alias("reading_order")))
 
 
 def block_text(blocks: Column, sep: str = "\n") -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,35 +158,43 @@ def area_matched_ratio(tor: Column, h: Column, w: Column) -> Column:
     return F.greatest(F.lit(0.0002), F.least(F.lit(0.05), tor * h * w / (side * side)))
 
 
+def cover_steps(blocks: list[dict], share: float, radius: float, most: int) -> list[dict]:
+    """Centres picked one by one for the most blocks still free; the first block wins ties."""
+    def reach(c: dict, e: dict) -> bool:
+        dx = max(0, abs(c["x"] - e["x"]) - e["w"] // 2)
+        dy = max(0, abs(c["y"] - e["y"]) - e["h"] // 2)
+        return dx * dx + dy * dy < radius * radius
+
+    covers = [{j for j, e in enumerate(blocks) if reach(c, e)} for c in blocks]
+    wanted = max(1, round(len(blocks) * share)) if share > 0 and blocks else 0
+    done: set[int] = set()
+    steps: list[dict] = []
+    while len(done) < wanted and len(steps) < most:
+        gains = [len(c - done) for c in covers]
+        best = gains.index(max(gains))
+        if not gains[best]:
+            break
+        done |= covers[best]
+        steps.append({"cx": blocks[best]["x"], "cy": blocks[best]["y"], "gained": gains[best]})
+    return steps
+
+
 def greedy_cover(elements: DataFrame, share: float, radius: float, most: int = 30) -> DataFrame:
-    """(page_id, probe_no, cx, cy, gained): centres picked one by one for the most blocks still free, first block on ties.
+    """(page_id, probe_no, cx, cy, gained): probes until the wanted share of a page's blocks (at least one) is reached.
 
-    Stops at the wanted share of blocks (at least one), at no gain, or at
-    ``most`` probes; a share of 0 picks none. Each pick hangs on those before,
-    so a page is one fold.
+    Stops at no gain or at ``most`` probes, a limit of the feature; a share of
+    0 picks none. Each pick hangs on those before, so a page is one fold.
     """
+    pages = elements.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("elem_id", "x", "y", "w", "h"))).alias("b"))
+    step = pa.list_(pa.struct([("cx", pa.int64()), ("cy", pa.int64()), ("gained", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            steps = [cover_steps(b, share, radius, most) for b in batch.column("b").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(steps, step)], names=["page_id", "s"])
 
-    def fold(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("elem_id")
-        boxes = list(rows[["x", "y", "w", "h"]].itertuples(index=False))
-
-        def reach(c, e) -> bool:
-            hw, hh = e.w // 2, e.h // 2
-            px, py = max(e.x - hw, min(c.x, e.x + hw)), max(e.y - hh, min(c.y, e.y + hh))
-            return ((c.x - px) ** 2 + (c.y - py) ** 2) ** 0.5 < radius
-
-        covers = [{j for j, e in enumerate(boxes) if reach(c, e)} for c in boxes]
-        wanted, done, out = max(1, round(len(boxes) * share)) if share > 0 else 0, set(), []
-        while len(done) < wanted and len(out) < most:
-            best = max(range(len(boxes)), key=lambda i: len(covers[i] - done))
-            gained = len(covers[best] - done)
-            if not gained:
-                break
-            done |= covers[best]
-            out.append((key[0], len(out), int(boxes[best].x), int(boxes[best].y), gained))
-        return pd.DataFrame(out, columns=["page_id", "probe_no", "cx", "cy", "gained"])
-
-    return elements.groupBy("page_id").applyInPandas(fold, "page_id long, probe_no int, cx long, cy long, gained int")
+    rows = pages.mapInArrow(run, "page_id long, s array<struct<cx:long,cy:long,gained:int>>")
+    return rows.select("page_id", F.posexplode("s").alias("probe_no", "s")).select("page_id", "probe_no", "s.*")
 
 
 def best_config(metrics: DataFrame, default: str, most_tor: float = 0.03, parsers: int = 2) -> DataFrame:
