@@ -10,9 +10,10 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SECRETS = ("api_key", "authorization")
 _loaded: dict[str, Any] = {}
@@ -37,19 +38,22 @@ def run_adapter(pages: DataFrame, name: str, load: Callable[[], Callable[[dict],
     error_message are added.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = pages.sparkSession.createDataFrame([], f"{schema}, parser_status string, error_message string").schema
+    arrow = to_arrow_schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _loaded:
             _loaded[name] = load()
-        for df in batches:
+        for batch in batches:
             out = []
-            for row in df.to_dict("records"):
+            for row in batch.to_pylist():
                 try:
                     out.append(retry_call(lambda row=row: _loaded[name](row), retries) | {"page_id": row["page_id"], "parser_status": "success", "error_message": ""})
                 except Exception as e:  # becomes the page's record
                     out.append({"page_id": row["page_id"], "parser_status": "failed", "error_message": str(e)})
-            yield pd.DataFrame(out)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return pages.mapInPandas(run, f"{schema}, parser_status string, error_message string")
+    return pages.mapInArrow(run, fields)
 
 
 def cache_key(**parts: Column) -> Column:

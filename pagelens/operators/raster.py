@@ -256,4 +256,5 @@ def run_plans(pages: DataFrame, shape: Point) -> DataFrame:
                 out.append((r.page_id, r.config_id, float(union.mean()), ssim(image.mean(-1), now.mean(-1)), len(r.steps), stats["mean"], stats["dark"]))
             yield pd.DataFrame(out, columns=["page_id", "config_id", "tor", "ssim", "n_steps", "mean", "dark"])
 
-    return pages.mapInPandas(run, RESULTS)
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(n, "page_id", "config_id").mapInPandas(run, RESULTS)  # pixels cost more than rows: one task a partition, never coalesced

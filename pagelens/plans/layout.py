@@ -370,14 +370,14 @@ def stat09(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("img12_run_plans")
 def img12(spark: SparkSession, sf: str) -> DataFrame:
-    """One anchor config for every page, in turn, on synthetic pages at a fifth of their size."""
+    """One anchor config for every page, in turn, on synthetic pages at a tenth of their size."""
     e = fx.clean_elements(spark, sf)
-    boxes = e.groupBy("page_id").agg(F.collect_list(F.array(*(((F.col(c) + F.col(s) * sign / 2.0) / 5).cast("double") for c, s, sign in (("x", "w", -1), ("y", "h", -1), ("x", "w", 1), ("y", "h", 1))))).alias("boxes"))
-    step = F.struct("probe_type", "params", F.array(F.lit(60), F.lit(80)).alias("target_location"))
+    boxes = e.groupBy("page_id").agg(F.collect_list(F.array(*(((F.col(c) + F.col(s) * sign / 2.0) / 10).cast("double") for c, s, sign in (("x", "w", -1), ("y", "h", -1), ("x", "w", 1), ("y", "h", 1))))).alias("boxes"))
+    step = F.struct("probe_type", "params", F.array(F.lit(30), F.lit(40)).alias("target_location"))
     plans = planning.anchor_configs(spark).select("config_id", F.array(step).alias("steps"))
     turn = F.concat(F.lit("A"), F.lpad((F.col("page_id") % 22 + 1).cast("string"), 2, "0"))
     pages = boxes.withColumn("config_id", turn).join(F.broadcast(plans), "config_id")  # the 22 literal configs
-    return raster.run_plans(pages, (fx.PAGE_H // 5, fx.PAGE_W // 5))
+    return raster.run_plans(pages, (fx.PAGE_H // 10, fx.PAGE_W // 10))
 
 
 @query("plan22_routes", "SELECT CASE WHEN doc_id % 11 = 0 THEN 'empty' WHEN doc_id % 7 = 0 THEN 'skip' WHEN length(text) > 8000 THEN 'too_long' ELSE 'api' END AS route, count(*) AS n FROM documents GROUP BY 1")
