@@ -7,9 +7,10 @@
    bucket's least class only, so pairs grow with members, not their square.
 3. Pairs whose sizes allow it and whose collision-corrected estimate from bit
    counts is at least ``MAYBE`` are confirmed on the full shingle sets.
-4. Buckets whose members aren't yet one component are compared once more,
-   signature against signature in blocks, and cross-component pairs over
-   ``MAYBE`` are confirmed too: no link is left to a bucket's least class.
+4. Buckets whose members aren't yet one component are compared once more in
+   blocks, signature against signature and likely pairs set against set; links
+   between components found there are confirmed too, so that no link is left
+   to a bucket's least class.
 5. Components come from star contraction over the confirmed links.
 """
 
@@ -31,7 +32,7 @@ WORDS, NEAR, OF = 5, 75, 100
 HASHES, BANDS, BITS = 128, 32, 4
 #: Estimates have a standard error of at most 0.045, so a pair at 0.75 is over this with odds of a million to one.
 MAYBE = 0.55
-BLOCK = 1024
+BLOCK = 256
 
 
 def _mix(z: np.ndarray) -> np.ndarray:
@@ -142,10 +143,28 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+#: Bits of the filter that spares most texts the shuffle; it is a table of FILTER_BITS / 8 bytes (4 MB) at any input.
+FILTER_BITS, BITMAP_BITS = 1 << 25, 1 << 15
+
+
+def shingle_sets(ids: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, shingles) of the ``rows(doc_id, text)`` whose doc_id is in ``ids(doc_id)``, as a written table.
+
+    A bitmap over hashed ids, broadcast because its size is fixed, drops most
+    other rows before their texts are shuffled; the semi-join after it is exact.
+    """
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select(place().alias("at")).groupBy(F.floor(F.col("at") / BITMAP_BITS).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP_BITS).alias("_bits"))
+    asked = rows.withColumn("_at", place()).withColumn("_bucket", F.floor(F.col("_at") / BITMAP_BITS)).join(F.broadcast(bits), "_bucket")
+    within = F.col("_at") % BITMAP_BITS
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(within / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    likely = asked.filter(F.floor(byte / F.pow(F.lit(2.0), (within % 8).cast("double"))) % 2 == 1).select("doc_id", "text")
+    return staged(likely.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles binary"), "shingle-sets")
+
+
 def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Links (u, v): the pairs (a, b) of doc_ids that hold on the full shingle sets of ``rows(doc_id, text)``."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = staged(rows.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, shingles binary"), "shingle-sets")
+    sets = shingle_sets(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), rows)
     with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     return both.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(_confirm, "u long, v long")
@@ -154,28 +173,57 @@ def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 _popcount = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _cross_pairs(a: dict, b: dict) -> np.ndarray:
-    """Pairs of two blocks that differ in component, fit in size and reach the estimate."""
-    found = []
-    for i in range(0, len(a["rep"]), 64):
-        x = a["sig"][i : i + 64, None] ^ b["sig"][None]
-        x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(0x1111111111111111)
-        differ = _popcount[x.view(np.uint8)].reshape(*x.shape[:2], -1).sum(2, dtype=np.int32)
-        alike = ((HASHES - differ) / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS) >= MAYBE
-        n, m = a["n"][i : i + 64, None], b["n"][None]
-        alike &= (np.minimum(n, m) * OF >= np.maximum(n, m) * NEAR) & (a["label"][i : i + 64, None] != b["label"][None])
-        p, q = np.nonzero(alike)
-        u, v = a["rep"][i + p], b["rep"][q]
-        found.append(np.stack([np.minimum(u, v), np.maximum(u, v)], 1))
-    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+def _alike(a: dict, b: dict, i: int) -> np.ndarray:
+    """Which rows of block ``b`` fit row ``i`` of ``a`` in size and reach the estimate."""
+    x = a["sig"][i] ^ b["sig"]
+    x = (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(0x1111111111111111)
+    differ = _popcount[x.view(np.uint8)].sum(1, dtype=np.int32)
+    n = a["n"][i]
+    return (((HASHES - differ) / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS) >= MAYBE) & (np.minimum(n, b["n"]) * OF >= np.maximum(n, b["n"]) * NEAR)
+
+
+def _cross_links(a: dict, b: dict) -> list[tuple[int, int]]:
+    """A spanning set of the links between two blocks' components.
+
+    Likely pairs of different components are checked on their sets of 32-bit
+    shingle hashes at once; a pair whose ends an earlier link has joined is
+    skipped, so at most one link a member comes out.
+    """
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    links = []
+    sizes = np.asarray([len(s) for s in b["set"]])
+    for i in range(len(a["rep"]) if len(sizes) else 0):
+        likely = np.flatnonzero(_alike(a, b, i) & (a["label"][i] != b["label"]))
+        mine = find(int(a["label"][i]))
+        likely = np.asarray([j for j in likely.tolist() if find(int(b["label"][j])) != mine], np.int64)
+        if not len(likely):
+            continue
+        s, others = a["set"][i], np.concatenate([b["set"][j] for j in likely])
+        found = s[np.minimum(np.searchsorted(s, others), len(s) - 1)] == others
+        shared = np.add.reduceat(found, np.cumsum(sizes[likely]) - sizes[likely], dtype=np.int64)
+        for j in likely[shared * OF >= (len(s) + sizes[likely] - shared) * NEAR].tolist():
+            x, y = find(int(a["label"][i])), find(int(b["label"][j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                links.append((int(a["rep"][i]), int(b["rep"][j])))
+    return links
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def side(rows: list[dict]) -> dict:
+        out = {c: np.asarray([r[c] for r in rows], np.int64) for c in ("rep", "n", "label")}
+        return out | {"sig": np.asarray([r["sig"] for r in rows], np.int64).reshape(len(rows), HASHES * BITS // 64).view(np.uint64), "set": [np.frombuffer(r["shingles"], np.uint32) for r in rows]}
+
     def pairs(rows: list[dict]) -> pa.RecordBatch:
-        side = lambda part: {"rep": np.asarray([r["rep"] for r in part], np.int64), "n": np.asarray([r["n"] for r in part], np.int64), "label": np.asarray([r["label"] for r in part], np.int64), "sig": np.asarray([r["sig"] for r in part], np.int64).reshape(len(part), -1).view(np.uint64)}
         p, q = rows[0]["p"], rows[0]["q"]
-        got = _cross_pairs(side([r for r in rows if r["own"] == p]), side([r for r in rows if r["own"] == q]))
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+        got = _cross_links(side([r for r in rows if r["own"] == p]), side([r for r in rows if r["own"] == q]))
+        return pa.RecordBatch.from_arrays([pa.array([min(x) for x in got], pa.int64()), pa.array([max(x) for x in got], pa.int64())], names=["a", "b"])
 
     held: list[dict] = []
     for batch in batches:
@@ -188,23 +236,32 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
-def _unsettled(members: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
-    """Plausible pairs (a, b) across components within buckets that hold more than one.
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        short = [np.unique((np.frombuffer(s, np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for s in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["rep", "shingles"])
+
+
+def _unsettled(members: DataFrame, classes: DataFrame, component: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (a, b), still to confirm, across components within buckets that hold more than one.
 
     A bucket of more than ``BLOCK`` members is cut into blocks by hash, and
-    each pair of blocks is a group of its own, so no task holds a bucket.
+    each pair of blocks is a group of its own, so no task holds a bucket. Pairs
+    are only looked at there; what comes out is at most one link a member.
     """
     spark = members.sparkSession
     labelled = members.join(component.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     labelled = staged(labelled, "bucket-labels")
     torn = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi and m > 2")
     torn = torn.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = labelled.join(torn, "key").join(classes.select("rep", "n", "sig"), "rep")
+    held = staged(labelled.join(torn, "key"), "torn-buckets")
+    sets = shingle_sets(held.select(F.col("rep").alias("doc_id")).distinct(), rows).mapInArrow(_short_sets, "rep long, shingles binary")
+    full = held.join(classes.select("rep", "n", "sig"), "rep").join(sets, "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "label", "n", "sig")
+    full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "label", "n", "sig", "shingles")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "rep").mapInArrow(_cross, "a long, b long").distinct()
+    return full.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "rep").mapInArrow(_cross, "a long, b long").distinct()
 
 
 def find_components(docs: DataFrame) -> DataFrame:
@@ -235,7 +292,7 @@ def find_components(docs: DataFrame) -> DataFrame:
     shared_ids = owned.join(twice, "doc_id").filter("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v"))
     links = staged(confirmed(star, rows).unionByName(shared_ids), "links")
     component = staged(connected_components(links), "components")
-    more = staged(_unsettled(members, classes, component), "cross-pairs")
+    more = staged(_unsettled(members, classes, component, rows), "cross-pairs")
     if not more.isEmpty():
         component = staged(connected_components(links.unionByName(confirmed(more, rows))), "components")
     found = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
