@@ -5,8 +5,9 @@
    equal sets are one class, named by its least doc_id.
 2. Band candidates: in each bucket of a band, every class is paired with the
    bucket's least class only, so pairs grow with members, not their square.
-3. Pairs whose sizes allow it and whose collision-corrected estimate from bit
-   counts is at least ``MAYBE`` are confirmed on the full shingle sets.
+3. Of the pairs whose sizes allow it and whose collision-corrected estimate
+   from bit counts is at least ``MAYBE``, a class's likeliest and the one with
+   the least class are confirmed on the full shingle sets.
 4. Buckets whose members aren't yet one component are compared once more in
    blocks, signature against signature and likely pairs set against set; links
    between components found there are confirmed too, so that no link is left
@@ -121,10 +122,16 @@ def estimate(a: Column, b: Column) -> Column:
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose set sizes and estimate leave a similarity of NEAR / OF possible."""
+    """Of the pairs (a, b) whose set sizes and estimate leave a similarity of NEAR / OF possible, two for each b: the least a and the likeliest.
+
+    These only start the components; every other pair of a bucket is settled
+    by :func:`_unsettled` unless its ends are one component by then.
+    """
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.filter((F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * NEAR) & (estimate(F.col("sig_a"), F.col("sig_b")) >= MAYBE)).select("a", "b")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("likely", estimate(F.col("sig_a"), F.col("sig_b")))
+    fits = both.filter((F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * NEAR) & (F.col("likely") >= MAYBE))
+    best = fits.groupBy("b").agg(F.min("a").alias("least"), F.max(F.struct("likely", (-F.col("a")).alias("minus"))).alias("top"))
+    return best.select(F.explode(F.array_distinct(F.array("least", -F.col("top.minus")))).alias("a"), "b")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
