@@ -11,7 +11,8 @@
 4. Buckets whose members aren't yet one component are compared once more in
    blocks, signature against signature and likely pairs set against set; links
    between components found there are confirmed too, so that no link is left
-   to a bucket's least class.
+   to a bucket's least class. A bucket of two is one pair and needs no block:
+   it is confirmed if its ends are still apart.
 5. Components come from star contraction over the confirmed links.
 """
 
@@ -121,16 +122,21 @@ def estimate(a: Column, b: Column) -> Column:
     return ((HASHES - differ) / float(HASHES) - chance) / (1 - chance)
 
 
+def _fitting(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose set sizes and estimate ``likely`` leave a similarity of NEAR / OF possible."""
+    side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("likely", estimate(F.col("sig_a"), F.col("sig_b")))
+    return both.filter((F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * NEAR) & (F.col("likely") >= MAYBE))
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) whose set sizes and estimate leave a similarity of NEAR / OF possible, two for each b: the least a and the likeliest.
+    """Of the fitting pairs (a, b) two for each b: the least a and the likeliest.
 
     These only start the components; every other pair of a bucket is settled
-    by :func:`_unsettled` unless its ends are one component by then.
+    by :func:`_unsettled` or, in a bucket of two, :func:`_twos_apart`, unless
+    its ends are one component by then.
     """
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("likely", estimate(F.col("sig_a"), F.col("sig_b")))
-    fits = both.filter((F.least("n_a", "n_b") * OF >= F.greatest("n_a", "n_b") * NEAR) & (F.col("likely") >= MAYBE))
-    best = fits.groupBy("b").agg(F.min("a").alias("least"), F.max(F.struct("likely", (-F.col("a")).alias("minus"))).alias("top"))
+    best = _fitting(pairs, classes).groupBy("b").agg(F.min("a").alias("least"), F.max(F.struct("likely", (-F.col("a")).alias("minus"))).alias("top"))
     return best.select(F.explode(F.array_distinct(F.array("least", -F.col("top.minus")))).alias("a"), "b")
 
 
@@ -268,7 +274,15 @@ def _unsettled(members: DataFrame, classes: DataFrame, component: DataFrame, row
     full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "label", "n", "sig", "shingles")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "rep").mapInArrow(_cross, "a long, b long").distinct()
+    return full.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q", "rep").mapInArrow(_cross, "a long, b long")
+
+
+def _twos_apart(members: DataFrame, classes: DataFrame, component: DataFrame) -> DataFrame:
+    """The fitting pairs (a, b) of the buckets with two members whose ends lie in different components."""
+    twos = members.filter("m = 2 and rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    side = lambda c: component.select(F.col("id").alias(c), F.col("component").alias(f"in_{c}"))
+    apart = twos.join(side("b"), "b", "left").join(side("a"), "a", "left").filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
+    return _fitting(apart.select("a", "b"), classes).select("a", "b")
 
 
 def find_components(docs: DataFrame) -> DataFrame:
@@ -290,7 +304,7 @@ def find_components(docs: DataFrame) -> DataFrame:
     named = signed.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = staged(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "minhash-classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = staged(banded.join(buckets, "key"), "buckets")
     star = members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     star = staged(_plausible(star, classes), "star-pairs")
@@ -299,7 +313,7 @@ def find_components(docs: DataFrame) -> DataFrame:
     shared_ids = owned.join(twice, "doc_id").filter("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v"))
     links = staged(confirmed(star, rows).unionByName(shared_ids), "links")
     component = staged(connected_components(links), "components")
-    more = staged(_unsettled(members, classes, component, rows), "cross-pairs")
+    more = staged(_unsettled(members, classes, component, rows).unionByName(_twos_apart(members, classes, component)).distinct(), "cross-pairs")
     if not more.isEmpty():
         component = staged(connected_components(links.unionByName(confirmed(more, rows))), "components")
     found = signed.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))

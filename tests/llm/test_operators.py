@@ -268,6 +268,19 @@ def test_minhash_cross_blocks_find_links_off_the_star(spark, monkeypatch):
     assert links == {(1, 2)}
 
 
+def test_minhash_links_every_leader_of_buckets_of_two(spark):
+    """Families whose last text has three leaders; the one neither least nor likeliest shares only buckets of two with it."""
+    texts, n = {}, 0
+    for f in (182, 477, 605, 833):
+        words = [f"f{f}w{i}" for i in range(160)]
+        for lo, hi in ((0, 38), (60, 91), (122, 160), (0, 0)):
+            texts[n := n + 1] = " ".join(words[:lo] + words[hi:])
+    want, _ = brute_components(texts)
+    assert want == {i: i - (i - 1) % 4 for i in texts}
+    rows = minhash.find_components(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
+
+
 def test_minhash_edges(docs, empty):
     rows = {r.doc_id: r for r in minhash.find_components(docs).collect()}
     assert rows[8].component_id == 6 and rows[2].n_shingles == 0 and rows[5].n_shingles == 1
