@@ -1,17 +1,18 @@
 """Information-theoretic sanitisation of personal data (operator 2).
 
 Base spans (e-mail, IP, card, phone) are the protected entities. A term that
-stands within ``WINDOW`` words of an entity discloses it by their pointwise
-mutual information over the corpus, measured against what the entity itself
-carries:
+stands within ``WINDOW`` words of an entity somewhere discloses it by their
+pointwise mutual information over the corpus, measured against what the entity
+itself carries:
 
     PMI(t; e) = log2(n(e,t) * N / (df(e) * df(t))),   IC(e) = log2(N / df(e))
 
-with document counts over all documents. A ratio PMI / IC of 1 means that the
-term occurs only beside the entity. At ``REMOVE`` the term is removed in every
-document that holds the pair, at ``GENERALISE`` it becomes a word class. A pair
-counts only if at least ``SUPPORT`` different contexts hold it, so that copies
-of one passage aren't evidence.
+with document counts over all documents, at any distance: n(e,t) counts those
+that hold both. A ratio PMI / IC of 1 means that the term occurs only in the
+entity's documents. At ``REMOVE`` the term is removed in every document that
+holds the pair, wherever it stands, at ``GENERALISE`` it becomes a word class. A
+pair counts only if at least ``SUPPORT`` different contexts, that is windows,
+hold it, so that copies of one passage aren't evidence.
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged
+from .tokens import _Memo
 
 WINDOW, SUPPORT, REMOVE, GENERALISE = 8, 3, 0.9, 0.8
 KINDS = ("email", "ip", "card", "phone", "removed", "general")
 MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "removed": "", "general": None}
 DF_FLUSH = 200_000
+#: Bits of the filter of the pairs to count; it is a table of FILTER_BITS / 8 bytes (4 MB) at any input.
+FILTER_BITS, BITMAP_BITS = 1 << 25, 1 << 15
 
 _local = re.compile(r"[A-Za-z0-9._%+-]")
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,9 +108,12 @@ def _entity(kind: str, s: str) -> int:
     return _hash(f"{kind}:{s.lower() if kind == 'email' else s if kind == 'ip' else re.sub('[^0-9]', '', s)}")
 
 
-def _contexts(text: str, base: dict[str, list[Span]]) -> tuple[dict[tuple[int, int], int], list[int], np.ndarray]:
-    """(entity, term) -> context of its first window; the terms; all their places as (term number, start, end)."""
-    taken = sorted(s for spans in base.values() for s in spans)
+_term = _Memo(_hash)
+
+
+def _words(text: str, taken: list[Span]) -> list[tuple[int, int, str]]:
+    """(start, end, lower case) of the words outside the spans ``taken``."""
+    taken = sorted(taken)
     starts = [s for s, _ in taken]
     reach = np.maximum.accumulate([e for _, e in taken]).tolist()
     words = []
@@ -115,24 +122,28 @@ def _contexts(text: str, base: dict[str, list[Span]]) -> tuple[dict[tuple[int, i
         i = bisect_left(starts, e) - 1
         if i < 0 or reach[i] <= s:
             words.append((s, e, m[0].lower()))
-    begins, pairs, hashes = [w[0] for w in words], {}, {}
+    return words
+
+
+def _contexts(text: str, base: dict[str, list[Span]]) -> tuple[dict[tuple[int, int], int], list[int]]:
+    """(entity, term) -> context of its first window; all entities."""
+    words = _words(text, [s for spans in base.values() for s in spans])
+    begins, pairs, entities = [w[0] for w in words], {}, {}
     for kind, spans in base.items():
         for s, e in spans:
             i, j = bisect_right(begins, s), bisect_left(begins, e)
             near = [w[2] for w in words[max(0, i - WINDOW) : i] + words[j : j + WINDOW]]
             entity, context = _entity(kind, text[s:e]), _hash(" ".join(near))
+            entities[entity] = None
             for w in near:
-                t = hashes.setdefault(w, _hash(w))
-                pairs.setdefault((entity, t), context)
-    number = {w: i for i, w in enumerate(hashes)}
-    places = [(number[w], s, e) for s, e, w in words if w in number]
-    return pairs, list(hashes.values()), np.asarray(places, "<u4").reshape(-1, 3)
+                pairs.setdefault((entity, _term[w]), context)
+    return pairs, list(entities)
 
 
 _span_t = "array<struct<kind:string,start:int,`end`:int>>"
-_found_sql = f"kind int, row_key long, doc_id long, text_key long, base {_span_t}, pairs array<struct<e:long,t:long,c:long>>, entities array<long>, terms array<long>, places binary, term long, df long"
+_found_sql = f"kind int, row_key long, doc_id long, text_key long, base {_span_t}, pairs array<struct<e:long,t:long,c:long>>, entities array<long>, text string, term long, df long"
 _span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_found = pa.schema([("kind", pa.int32()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", _span), ("pairs", pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64())]))), ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64())), ("places", pa.binary()), ("term", pa.int64()), ("df", pa.int64())])
+_found = pa.schema([("kind", pa.int32()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", _span), ("pairs", pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64())]))), ("entities", pa.list_(pa.int64())), ("text", pa.string()), ("term", pa.int64()), ("df", pa.int64())])
 DOC, TERM = 0, 1
 
 
@@ -154,8 +165,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             row = {"kind": DOC, "row_key": key, "doc_id": doc_id, "text_key": text_key, "base": [{"kind": k, "start": s, "end": e} for k, spans in base.items() for s, e in spans]}
             if row["base"]:
-                pairs, terms, places = _contexts(text, base)
-                row |= {"pairs": [{"e": e, "t": t, "c": c} for (e, t), c in pairs.items()], "entities": list({e for e, _ in pairs}), "terms": terms, "places": places.tobytes()}
+                pairs, entities = _contexts(text, base)
+                row |= {"pairs": [{"e": e, "t": t, "c": c} for (e, t), c in pairs.items()], "entities": entities, "text": text}
             rows.append(row)
             key += 1
         if rows:
@@ -166,11 +177,49 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def disclosures(found: DataFrame, support: int = SUPPORT, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
-    """(e, t, ratio, level) of the pairs over the thresholds; level 2 removes, 1 generalises."""
+def held_pairs(found: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(row_key, e, t) of the documents that hold both at any distance, as a written table.
+
+    All of ``candidates(e, t)`` and a few others: a bitmap of fixed size over
+    the pairs drops most others in the document's own pass, so that no join
+    makes a row for every document and candidate of an entity.
+    """
+    at = F.col("e").bitwiseXOR(F.col("t")).bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = candidates.select(at.alias("at")).groupBy(F.floor(F.col("at") / BITMAP_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP_BITS).alias("bits")).collect()
+    bits = np.zeros((FILTER_BITS // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
+    for r in rows:
+        bits[r.bucket] = np.frombuffer(bytes(r.bits), np.uint8)
+    bits = bits.reshape(-1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, es, ts = [], [], []
+            for key, base, entities, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                terms = np.asarray([_term[w] for w in {w for _, _, w in _words(text, [(x["start"], x["end"]) for x in base])}], np.int64)
+                for e in entities:
+                    place = (terms ^ np.int64(e)) & np.int64(FILTER_BITS - 1)
+                    t = terms[bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1]
+                    keys.append(key)
+                    es.append(e)
+                    ts.append(t)
+            if ts:
+                sizes = [len(t) for t in ts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes)), pa.array(np.repeat(es, sizes)), pa.array(np.concatenate(ts))], names=["row_key", "e", "t"])
+
+    docs = found.filter((F.col("kind") == DOC) & F.col("text").isNotNull())
+    return staged(docs.select("row_key", "base", "entities", "text").mapInArrow(run, "row_key long, e long, t long"), "pii-held")
+
+
+def candidate_pairs(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(e, t) of the pairs that at least ``support`` different windows hold."""
+    pairs = found.filter(F.col("kind") == DOC).select(F.explode("pairs").alias("p")).select("p.e", "p.t", "p.c")
+    return pairs.groupBy("e", "t").agg(F.countDistinct("c").alias("contexts")).filter(F.col("contexts") >= support).select("e", "t")
+
+
+def disclosures(found: DataFrame, candidates: DataFrame, held: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+    """(e, t, ratio, level) of the candidates over the thresholds; level 2 removes, 1 generalises."""
     docs = found.filter(F.col("kind") == DOC)
-    pairs = docs.select(F.explode("pairs").alias("p")).select("p.e", "p.t", "p.c")
-    joint = pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c").alias("contexts")).filter(F.col("contexts") >= support)
+    joint = held.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n")).join(candidates, ["e", "t"])
     df_e = docs.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("df_e"))
     df_t = found.filter(F.col("kind") == TERM).groupBy(F.col("term").alias("t")).agg(F.sum("df").alias("df_t"))
     total = docs.agg(F.count(F.lit(1)).cast("double").alias("total"))
@@ -190,9 +239,9 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = Counter(k for k, _, _ in spans)
             joined = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
             if r["hits"]:
-                level = {h["t"]: h["level"] for h in r["hits"]}
-                number = [level.get(t, 0) for t in r["terms"]]
-                more = [("removed" if number[t] == 2 else "general", s, e) for t, s, e in np.frombuffer(r["places"], "<u4").reshape(-1, 3).tolist() if number[t]]
+                level = {h["t"]: h["level"] for h in sorted(r["hits"], key=lambda h: h["level"])}
+                words = [(level.get(_term[w], 0), s, e) for s, e, w in _words(r["text"], [(s, e) for _, s, e in spans])]
+                more = [("removed" if n == 2 else "general", s, e) for n, s, e in words if n]
                 spans += sorted(more, key=lambda x: (x[0] == "general", x[1]))
             rows.append({k: r[k] for k in ("doc_id", "text_key")} | {f"n_{k}": counts[k] for k in KINDS[:4]} | {"base_sha256": hashlib.sha256(joined.encode()).hexdigest(), "spans": [{"kind": k, "start": s, "end": e} for k, s, e in spans]})
         yield pa.RecordBatch.from_pylist(rows, schema=_merged)
@@ -213,12 +262,13 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE,
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = staged(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_scan, _found_sql), "pii-found", "kind").select(*[f.split()[0] for f in ("kind", "row_key", "doc_id", "text_key", "base", "pairs", "entities", "terms", "places", "term", "df")])
-    told = staged(disclosures(found, support, remove, generalise), "pii-disclosures")
+    found = staged(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_scan, _found_sql), "pii-found", "kind").select(*[f.split()[0] for f in ("kind", "row_key", "doc_id", "text_key", "base", "pairs", "entities", "text", "term", "df")])
+    candidates = staged(candidate_pairs(found, support), "pii-candidates")
+    held = held_pairs(found, candidates)
+    told = staged(disclosures(found, candidates, held, remove, generalise), "pii-disclosures")
     docs_found = found.filter(F.col("kind") == DOC)
-    pairs = docs_found.select("row_key", F.explode("pairs").alias("p")).select("row_key", "p.e", "p.t")
-    hits = pairs.join(told.select("e", "t", "level"), ["e", "t"]).groupBy("row_key").agg(F.collect_list(F.struct("t", "level")).alias("hits"))
-    joined = docs_found.join(hits, "row_key", "left").select("doc_id", "text_key", "base", "terms", "places", F.transform("hits", lambda h: F.struct(h.t.alias("t"), h.level.alias("level"))).alias("hits"))
+    hits = held.join(told.select("e", "t", "level"), ["e", "t"]).groupBy("row_key").agg(F.collect_list(F.struct("t", "level")).alias("hits"))
+    joined = docs_found.join(hits, "row_key", "left").select("doc_id", "text_key", "base", "text", F.transform("hits", lambda h: F.struct(h.t.alias("t"), h.level.alias("level"))).alias("hits"))
     return joined.mapInArrow(_merge_spans, _merged_sql)
 
 

@@ -168,6 +168,21 @@ def test_pii_disclosing_terms(spark):
     assert "<EMAIL>" in clean[0] and "zorbax" not in clean[0] and clean[99] is None and clean[20] == rest[10][1] and clean[None] == "zorbax <EMAIL>"
 
 
+def test_pii_disclosing_terms_far_from_the_entity(spark):
+    def far(i):
+        return f"Zorbax heads this {' '.join(f'p{i}x{k}' for k in range(30))} bob@corp.example"
+
+    near = [(i, f"n{i} zorbax bob@corp.example m{i}") for i in range(3)]
+    rows = [*near, *[(i, far(i)) for i in range(3, 9)], (9, "bob@corp.example"), *[(20 + i, f"plain note u{i} this heads") for i in range(40)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in pii.find_spans(docs).collect()}
+    assert spans[0] == [("email", 10), ("removed", 3)] and spans[9] == [("email", 0)] and spans[20] == []
+    for i in range(3, 9):
+        assert spans[i] == [("email", far(i).index("bob")), ("removed", 0)]
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
+    assert not any("zorbax" in clean[i].lower() for i in range(9))
+
+
 def test_pii_edges(spark, docs, empty):
     assert pii.find_spans(docs).count() == len(ROWS) and pii.find_spans(empty).count() == 0
     out = pii.sanitize(docs)
