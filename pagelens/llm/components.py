@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round is written to the shared folder, so a lost executor costs one
     round. Nodes without an edge to another node don't appear; self-loops,
-    repeated and reversed edges are allowed.
+    repeated and reversed edges are allowed. A graph not settled after
+    ``MAX_ROUNDS`` is an error.
     """
     now = staged(_canonical(edges), "edges")
     state = _state(now)
@@ -49,5 +50,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before, state = state, _state(now)
         if state == before:
             break
+    else:
+        if state[0]:
+            raise RuntimeError(f"components not settled after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

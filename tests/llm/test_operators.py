@@ -322,6 +322,13 @@ def test_components(spark):
     assert got == {i: root[i] for i in linked}
 
 
+def test_components_not_settled_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(components, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long"))
+    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_embeddings_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "VECTORS_PER_CELL", 40)
     monkeypatch.setattr(embeddings, "BLOCK", 16)
