@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, bounded_batches, staged, texts_of
+from .common import bounded_batches, staged, texts_of
 from .tokens import default_path, word_ids
 
 WINDOW, OPEN_WINDOWS, FAN_IN, END_ID = 4096, 16, 16, 2
@@ -20,10 +20,13 @@ MAX_PAD = WINDOW // 128
 
 
 class Piece(NamedTuple):
+    """``length`` ids of a document from its ``start``-th, as little-endian bytes in ``ids``."""
+
     doc_id: int | None
     start: int
+    length: int
     doc_tokens: int
-    ids: np.ndarray
+    ids: bytes
 
 
 class Window:
@@ -34,11 +37,13 @@ class Window:
 
     def put(self, piece: Piece) -> None:
         self.pieces.append(piece)
-        self.used += len(piece.ids)
+        self.used += piece.length
 
 
 def cut(piece: Piece, at: int) -> tuple[Piece, Piece]:
-    return piece._replace(ids=piece.ids[:at]), piece._replace(start=piece.start + at, ids=piece.ids[at:])
+    doc_id, start, length, doc_tokens, ids = piece
+    b = at * (len(ids) // length)
+    return Piece(doc_id, start, at, doc_tokens, ids[:b]), Piece(doc_id, start + at, length - at, doc_tokens, ids[b:])
 
 
 class Packer:
@@ -54,13 +59,17 @@ class Packer:
         self.open: list[Window] = []
 
     def add(self, piece: Piece) -> Iterator[Window]:
-        while len(piece.ids) >= self.window:
-            head, piece = cut(piece, self.window)
-            full = Window()
-            full.put(head)
-            yield full
-        while len(piece.ids):
-            need = len(piece.ids)
+        if piece.length >= self.window:
+            whole, width = piece.length - piece.length % self.window, len(piece.ids) // piece.length
+            for at in range(0, whole, self.window):
+                full = Window()
+                full.put(Piece(piece.doc_id, piece.start + at, self.window, piece.doc_tokens, piece.ids[at * width : (at + self.window) * width]))
+                yield full
+            if whole == piece.length:
+                return
+            _, piece = cut(piece, whole)
+        while piece.length:
+            need = piece.length
             fit = max((w for w in self.open if w.used + need <= self.window), key=lambda w: w.used, default=None)
             if fit is None and len(self.open) < self.limit:
                 fit = Window()
@@ -91,32 +100,64 @@ def power_of_two_parts(w: Window, largest: int) -> Iterator[Window]:
         out, room = Window(), size
         while room:
             piece = queue.pop(0)
-            if len(piece.ids) > room:
+            if piece.length > room:
                 piece, tail = cut(piece, room)
                 queue.insert(0, tail)
             out.put(piece)
-            room -= len(piece.ids)
+            room -= piece.length
         left -= size
         yield out
 
 
 PIECES = "array<struct<doc_id:long,start:long,length:int,doc_tokens:long>>"
 SEQUENCES = f"sequence_id long, is_open boolean, used int, input_ids binary, pieces {PIECES}"
-_pieces = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64())]))
+_piece = pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64())])
+_pieces = pa.list_(_piece)
 _sequences = pa.schema([("sequence_id", pa.int64()), ("is_open", pa.bool_()), ("used", pa.int32()), ("input_ids", pa.binary()), ("pieces", _pieces)])
 
 
-def _row(w: Window, sequence_id: int, is_open: bool, dtype: np.dtype) -> dict:
-    ids = np.concatenate([p.ids for p in w.pieces]).astype(dtype)
-    return {"sequence_id": sequence_id, "is_open": is_open, "used": w.used, "input_ids": ids.tobytes(), "pieces": [{"doc_id": p.doc_id, "start": p.start, "length": len(p.ids), "doc_tokens": p.doc_tokens} for p in w.pieces]}
-
-
-def _windows(batch: pa.RecordBatch, dtype: np.dtype) -> Iterator[Window]:
-    for raw, pieces in zip(batch.column("input_ids").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
-        ids, at, w = np.frombuffer(raw, dtype), 0, Window()
-        for p in pieces:
-            w.put(Piece(p["doc_id"], p["start"], p["doc_tokens"], ids[at : at + p["length"]]))
-            at += p["length"]
+class _Rows:
+    """Windows gathered into columns, and record batches of at most ``limit`` windows made of them."""
+
+    def __init__(self, limit: int = 256):
+        self.limit = limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.heads: list[tuple] = []
+        self.pieces: list[Piece] = []
+        self.ends = [0]
+
+    def add(self, w: Window, sequence_id: int, is_open: bool) -> Iterator[pa.RecordBatch]:
+        self.heads.append((sequence_id, is_open, w.used, b"".join([p.ids for p in w.pieces])))
+        self.pieces += w.pieces
+        self.ends.append(len(self.pieces))
+        if len(self.heads) >= self.limit:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.heads:
+            return
+        columns = zip(*self.heads, strict=True)
+        doc_id, start, length, doc_tokens, _ = zip(*self.pieces, strict=True)
+        flat = [pa.array(c, f.type) for c, f in zip((doc_id, start, length, doc_tokens), _piece, strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pa.StructArray.from_arrays(flat, fields=list(_piece)))
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, _sequences, strict=False)]
+        self._clear()
+        yield pa.RecordBatch.from_arrays([*arrays, lists.cast(_pieces)], schema=_sequences)
+
+
+def _windows(batch: pa.RecordBatch, width: int) -> Iterator[Window]:
+    lists = batch.column("pieces")
+    doc_id, start, length, doc_tokens = (c.to_pylist() for c in lists.flatten().flatten())
+    lo = 0
+    for raw, n in zip(batch.column("input_ids").to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+        at, w = 0, Window()
+        for i in range(lo, lo + n):
+            b = at + length[i] * width
+            w.put(Piece(doc_id[i], start[i], length[i], doc_tokens[i], raw[at:b]))
+            at = b
+        lo += n
         yield w
 
 
@@ -141,64 +182,66 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_w
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, packer = word_ids(tokenizer), Packer(window, open_windows, max_pad)
-        end = np.asarray([end_id], coder.dtype)
-        base = TaskContext.get().partitionId() << 36
-
-        def rows_out() -> Iterator[dict]:
-            n = base
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                    ids = np.concatenate([np.frombuffer(coder.encode(text), coder.dtype), end])
-                    for w in packer.add(Piece(doc_id, 0, len(ids), ids)):
-                        yield _row(w, n, False, coder.dtype)
-                        n += 1
-            for w in packer.rest():
-                yield _row(w, n, True, coder.dtype)
-                n += 1
-
-        yield from batched(rows_out(), _sequences, 256)
+        coder, packer, rows_out = word_ids(tokenizer), Packer(window, open_windows, max_pad), _Rows()
+        end, width = np.asarray([end_id], coder.dtype).tobytes(), coder.dtype.itemsize
+        n = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                ids = coder.encode(text) + end
+                tokens = len(ids) // width
+                for w in packer.add(Piece(doc_id, 0, tokens, tokens, ids)):
+                    yield from rows_out.add(w, n, False)
+                    n += 1
+        for w in packer.rest():
+            yield from rows_out.add(w, n, True)
+            n += 1
+        yield from rows_out.flush()
 
     first = staged(rows.mapInArrow(pack, SEQUENCES), "packed")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = word_ids(tokenizer).dtype
+        width = word_ids(tokenizer).dtype.itemsize
+        rows_out = _Rows()
 
-        def flush(held: list[Window], group: int) -> Iterator[dict]:
-            packer, n = Packer(window, open_windows, max_pad), (1 << 62) + (group << 36)
+        def numbered(held: list[Window]) -> Iterator[Window]:
+            packer = Packer(window, open_windows, max_pad)
             for w in sorted(held, key=lambda w: -w.used):
-                pieces = w.pieces
-                for done in (d for p in pieces for d in packer.add(p)):
-                    yield _row(done, n, False, dtype)
-                    n += 1
+                for p in w.pieces:
+                    yield from packer.add(p)
             last = Window()
             for w in sorted(packer.rest(), key=lambda w: -w.used):
                 for p in w.pieces:
-                    while last.used + len(p.ids) >= window:
-                        head, p = cut(p, window - last.used)
+                    while last.used + p.length >= window:
+                        room = window - last.used
+                        if room < p.length:
+                            head, p = cut(p, room)
+                        else:
+                            head, p = p, None
                         last.put(head)
-                        yield _row(last, n, False, dtype)
-                        last, n = Window(), n + 1
-                    if len(p.ids):
+                        yield last
+                        last = Window()
+                        if p is None:
+                            break
+                    if p is not None:
                         last.put(p)
-            for part in power_of_two_parts(last, window):
-                yield _row(part, n, False, dtype)
-                n += 1
-
-        def rows_out() -> Iterator[dict]:
-            group, held = None, []
-            for batch in batches:
-                for at, w in zip(batch.column("sequence_id").to_pylist(), _windows(batch, dtype), strict=True):
-                    mine = (at >> 36) // fan_in
-                    if group is not None and mine != group:
-                        yield from flush(held, group)
-                        held = []
-                    group = mine
-                    held.append(w)
-            if held:
-                yield from flush(held, group)
-
-        yield from batched(rows_out(), _sequences, 256)
+            yield from power_of_two_parts(last, window)
+
+        def flush(held: list[Window], group: int) -> Iterator[pa.RecordBatch]:
+            for n, w in enumerate(numbered(held), (1 << 62) + (group << 36)):
+                yield from rows_out.add(w, n, False)
+
+        group, held = None, []
+        for batch in batches:
+            for at, w in zip(batch.column("sequence_id").to_pylist(), _windows(batch, width), strict=True):
+                mine = (at >> 36) // fan_in
+                if group is not None and mine != group:
+                    yield from flush(held, group)
+                    held = []
+                group = mine
+                held.append(w)
+        if held:
+            yield from flush(held, group)
+        yield from rows_out.flush()
 
     left = first.filter("is_open").withColumn("g", F.floor(F.shiftright("sequence_id", 36) / fan_in))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -215,16 +258,20 @@ def piece_digests(sequences: DataFrame, tokenizer: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype = word_ids(tokenizer).dtype
-
-        def rows_out() -> Iterator[dict]:
-            for batch in batches:
-                for sid, w in zip(batch.column("sequence_id").to_pylist(), _windows(batch, dtype), strict=True):
-                    at = 0
-                    for p in w.pieces:
-                        yield {"doc_id": p.doc_id, "start": p.start, "length": len(p.ids), "ids_crc32": zlib.crc32(p.ids.astype("<u4").tobytes()), "doc_tokens": p.doc_tokens, "sequence_id": sid, "offset": at}
-                        at += len(p.ids)
-
-        yield from batched(rows_out(), pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]))
+        for batch in batches:
+            lists = batch.column("pieces")
+            doc_id, start, length, doc_tokens = lists.flatten().flatten()
+            each, lengths = lists.value_lengths().to_numpy(), length.to_numpy().astype(np.int64)
+            crc, offset, lo = [], [], 0
+            for raw, n in zip(batch.column("input_ids").to_pylist(), each.tolist(), strict=True):
+                wide, at = memoryview(np.frombuffer(raw, dtype).astype("<u4").tobytes()), 0
+                for size in lengths[lo : lo + n].tolist():
+                    crc.append(zlib.crc32(wide[4 * at : 4 * (at + size)]))
+                    offset.append(at)
+                    at += size
+                lo += n
+            sequence_id = np.repeat(batch.column("sequence_id").to_numpy(), each)
+            yield pa.RecordBatch.from_arrays([doc_id, start, pa.array(lengths), pa.array(crc, pa.int64()), doc_tokens, pa.array(sequence_id), pa.array(offset, pa.int64())], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return sequences.select("sequence_id", "input_ids", "pieces").mapInArrow(read, PLACED)
 
