@@ -18,9 +18,11 @@ _own_dir: list[str] = []
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset and the master local, as in tests."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="pagelens-"))
         base = f"file://{_own_dir[0]}"
@@ -75,6 +77,14 @@ def commit_file(uri: str, write) -> None:
     fs.move(part, path)
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}".lower() in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
 

@@ -41,12 +41,12 @@ def byte_alphabet() -> dict[int, str]:
 class _Memo(dict):
     """A bounded dictionary that fills itself; it starts anew when full."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MEMO_WORDS):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= self.most:
             self.clear()
         got = self.make(key)
         if len(key) <= 64:

@@ -14,6 +14,7 @@ from pagelens.llm.common import shared_path
 from pagelens.llm.tokens import default_path, word_ids
 
 WORD, BYTE = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
+CLASHES = ["_nth", "_kept_id", "_key", "_i", "_k", "_spans", "_span_id", "_mix_cdf", "_at"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, copy string, mix_key string, row_key int"
 #: Null, empty, blank, very long and repeated texts, a null id, odd characters, clashing column names.
 ROWS = [
@@ -23,14 +24,18 @@ ROWS = [
 ]
 
 
+def clashing(df):
+    return df.selectExpr("*", *(f"n_chars AS {c}" for c in CLASHES))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(ROWS, DOCS).repartition(3).cache()
+    return clashing(spark.createDataFrame(ROWS, DOCS)).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
 def empty(spark):
-    return spark.createDataFrame([], DOCS)
+    return clashing(spark.createDataFrame([], DOCS))
 
 
 def library_ids(text):
@@ -268,19 +273,52 @@ def test_minhash_equals_brute_force(spark):
     assert sorted(x for x in stays if x is not None) == sorted(set(want.values())) and stays.count(None) == 1
 
 
-def test_minhash_cross_blocks_find_links_off_the_star(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 2)
-    body = {1: " ".join(f"a{i}" for i in range(60)), 2: " ".join(f"b{i}" for i in range(60)), 3: " ".join(f"c{i}" for i in range(60))}
-    texts = {i: f"{body[g]} x{i}" for i, g in enumerate((1, 2, 2, 3, 2))}
+def test_minhash_blocks_find_links_off_the_star(spark, monkeypatch):
+    for name, size in (("HELD_ROWS", 2), ("PASSING_ROWS", 3), ("HELD_SHINGLES", 900), ("PASSING_SHINGLES", 1500)):
+        monkeypatch.setattr(minhash, name, size)
+    body = {g: " ".join(f"{g}{i}" for i in range(60)) for g in "abc"}
+    texts = {i: f"{body[g]} x{i}" for i, g in enumerate("abbcbaacbbb")}
     rows = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    keys = {r.doc_id: r.k for r in rows.selectExpr("doc_id", "xxhash64(text) AS k").collect()}
     sets = {i: minhash.shingles(t) for i, t in texts.items()}
     members = spark.createDataFrame([(7, i) for i in sets], "key long, rep long")
-    classes = spark.createDataFrame([(i, len(s), minhash.signature(minhash.minima(s)).tolist()) for i, s in sets.items()], "rep long, n long, sig array<long>")
-    component = spark.createDataFrame([], "id long, component long")
-    pairs = [(r.a, r.b) for r in minhash._unsettled(members, classes, component, rows).collect()]
-    assert set(pairs) <= {(1, 2), (1, 4), (2, 4)} and len(set(pairs)) >= 2
-    links = {(r.u, r.v) for r in minhash.confirmed(spark.createDataFrame([(1, 2), (0, 1), (0, 3)], "a long, b long"), rows).collect()}
-    assert links == {(1, 2)}
+    classes = spark.createDataFrame([(i, keys[i], len(s), minhash.signature(minhash.minima(s)).tolist()) for i, s in sets.items()], "rep long, text_key long, n long, sig array<long>")
+    for known in ([], [(1, 1), (2, 1), (4, 1), (8, 1)]):
+        component = spark.createDataFrame(known, "id long, component long")
+        links = minhash.settled(members, classes, component, rows).unionByName(component.selectExpr("id AS u", "component AS v"))
+        got = {r.id: r.component for r in components.connected_components(links).collect()}
+        assert got == brute_components(texts)[0]
+    star = spark.createDataFrame([(1, 2), (0, 1), (0, 3), (1, 10)], "a long, b long")
+    assert {tuple(sorted(r)) for r in minhash.star_links(star, classes, rows).collect()} == {(1, 2), (1, 10)}
+
+
+def test_minhash_stars_and_chains_at_the_threshold(spark):
+    """Families of four whose links lie at 0.74 to 0.80, as stars around the last, the first or as chains."""
+    rng, texts, n = random.Random(21), {}, 0
+    for f in range(300):
+        words = [f"f{f}w{i}" for i in range(104)]
+
+        def edited(k, base, places):
+            return [f"f{f}r{k}x{i}" if any(at <= i < at + rng.choice((9, 10)) for at in places) else w for i, w in enumerate(base)]
+
+        if f % 3 == 2:
+            chain = [words]
+            for k in range(3):
+                chain.append(edited(k, chain[-1], [rng.randrange(0, 90)]) if rng.random() < 0.5 else chain[-1][7:] + [f"f{f}c{k}x{i}" for i in range(7)])
+            family = chain
+        else:
+            family = [edited(k, words, (rng.choice((9, 10)), 45, 80)[: rng.choice((2, 3))]) for k in range(3)]
+            family = [*family, words] if f % 3 else [words, *family]
+        for t in family:
+            texts[n := n + 1] = " ".join(t)
+    texts |= {n + 1 + k: " ".join(f"115r{k}_{i % 35}" if i in {*range(10, 20), *range(45, 55), *range(80, 90)} else f"115w{i}" for i in range(104)) for k in range(3)}
+    texts[n + 4] = " ".join(f"115w{i}" for i in range(104))
+    want = {}
+    for at in range(1, n + 5, 4):
+        want |= brute_components({i: texts[i] for i in range(at, at + 4)})[0]
+    assert 200 < sum(i == c for i, c in want.items()) < 1000
+    got = {r.doc_id: r.component_id for r in minhash.find_components(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def test_minhash_links_every_leader_of_buckets_of_two(spark):
@@ -438,7 +476,7 @@ def test_pipeline_stages_on_edges(spark, docs, tmp_path):
     import corpus_pipeline
 
     extra = [(100 + i, f"the quick brown fox number {i} jumps over the lazy dog by the river bank {i * i}", "en", "a", 1, "x", "k", 1) for i in range(20)]
-    now = spark.createDataFrame([*ROWS, *extra, (150, extra[0][1], "en", "a", 1, "x", "k", 1)], DOCS)
+    now = clashing(spark.createDataFrame([*ROWS, *extra, (150, extra[0][1], "en", "a", 1, "x", "k", 1)], DOCS))
     for name, stage in corpus_pipeline.STAGES:
         columns = now.columns
         path = f"{tmp_path}/{name}"
