@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged
+from .common import bounded_batches, own_name, staged
 from .tokens import _Memo
 
 WINDOW, SUPPORT, REMOVE, GENERALISE = 8, 3, 0.9, 0.8
 KINDS = ("email", "ip", "card", "phone", "removed", "general")
 MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "removed": "", "general": None}
-DF_FLUSH = 200_000
-#: Bits of the filter of the pairs to count; it is a table of FILTER_BITS / 8 bytes (4 MB) at any input.
+#: Distinct words counted before a worker hands them on, and documents of one output batch.
+DF_FLUSH, ROWS_OUT = 20_000, 256
+#: Bits of the filters of the pairs and terms to count; each is a table of FILTER_BITS / 8 bytes (4 MB) at any input.
 FILTER_BITS, BITMAP_BITS = 1 << 25, 1 << 15
 
 _local = re.compile(r"[A-Za-z0-9._%+-]")
@@ -108,73 +108,106 @@ def _entity(kind: str, s: str) -> int:
     return _hash(f"{kind}:{s.lower() if kind == 'email' else s if kind == 'ip' else re.sub('[^0-9]', '', s)}")
 
 
-_term = _Memo(_hash)
+_term = _Memo(_hash, 50_000)
+_odd = np.arange(1, 2 * WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 
 
-def _words(text: str, taken: list[Span]) -> list[tuple[int, int, str]]:
-    """(start, end, lower case) of the words outside the spans ``taken``."""
-    taken = sorted(taken)
-    starts = [s for s, _ in taken]
-    reach = np.maximum.accumulate([e for _, e in taken]).tolist()
-    words = []
-    for m in _word.finditer(text):
-        s, e = m.span()
-        i = bisect_left(starts, e) - 1
-        if i < 0 or reach[i] <= s:
-            words.append((s, e, m[0].lower()))
+def _words(text: str, taken: np.ndarray) -> np.ndarray:
+    """(start, end) of the words outside the spans ``taken``, one row each."""
+    words = np.fromiter((x for m in _word.finditer(text) for x in m.span()), np.int64).reshape(-1, 2)
+    if len(words) and len(taken):
+        taken = taken[np.argsort(taken[:, 0], kind="stable")]
+        before = np.searchsorted(taken[:, 0], words[:, 1]) - 1
+        words = words[(before < 0) | (np.maximum.accumulate(taken[:, 1])[before] <= words[:, 0])]
     return words
 
 
-def _contexts(text: str, base: dict[str, list[Span]]) -> tuple[dict[tuple[int, int], int], list[int]]:
-    """(entity, term) -> context of its first window; all entities."""
-    words = _words(text, [s for spans in base.values() for s in spans])
-    begins, pairs, entities = [w[0] for w in words], {}, {}
-    for kind, spans in base.items():
-        for s, e in spans:
-            i, j = bisect_right(begins, s), bisect_left(begins, e)
-            near = [w[2] for w in words[max(0, i - WINDOW) : i] + words[j : j + WINDOW]]
-            entity, context = _entity(kind, text[s:e]), _hash(" ".join(near))
-            entities[entity] = None
-            for w in near:
-                pairs.setdefault((entity, _term[w]), context)
-    return pairs, list(entities)
+def _terms(text: str, words: np.ndarray) -> np.ndarray:
+    return np.fromiter((_term[text[s:e].lower()] for s, e in words.tolist()), np.int64, len(words))
+
+
+def _contexts(text: str, base: dict[str, list[Span]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (entity, term, context of their first window); all entities."""
+    spans = np.asarray([s for found in base.values() for s in found], np.int64).reshape(-1, 2)
+    entity = np.fromiter((_entity(kind, text[s:e]) for kind, found in base.items() for s, e in found), np.int64, len(spans))
+    words = _words(text, spans)
+    left, right = np.searchsorted(words[:, 0], spans[:, 0], "right"), np.searchsorted(words[:, 0], spans[:, 1])
+    rows, seen = [], np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(spans), 4096):
+            place = np.concatenate([left[at : at + 4096, None] + np.arange(-WINDOW, 0), right[at : at + 4096, None] + np.arange(WINDOW)], 1)
+            inside = (place >= 0) & (place < len(words))
+            asked, which = np.unique(place[inside], return_inverse=True)
+            near = np.zeros(place.shape, np.int64)
+            near[inside] = _terms(text, words[asked])[which]
+            context = (near.view(np.uint64) * _odd).sum(1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+            e, c = (np.broadcast_to(x[:, None], place.shape)[inside] for x in (entity[at : at + 4096], context.view(np.int64)))
+            t = near[inside]
+            pair = e.view(np.uint64) * np.uint64(0x94D049BB133111EB) ^ t.view(np.uint64)
+            pair, first = np.unique(pair, return_index=True)
+            new = ~np.isin(pair, seen, assume_unique=True)
+            seen, first = np.concatenate([seen, pair[new]]), np.sort(first[new])
+            rows.append(np.stack([e[first], t[first], c[first]], 1))
+    return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64), np.unique(entity)
 
 
 _span_t = "array<struct<kind:string,start:int,`end`:int>>"
-_found_sql = f"kind int, row_key long, doc_id long, text_key long, base {_span_t}, pairs array<struct<e:long,t:long,c:long>>, entities array<long>, text string, term long, df long"
-_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_found = pa.schema([("kind", pa.int32()), ("row_key", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("base", _span), ("pairs", pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("c", pa.int64())]))), ("entities", pa.list_(pa.int64())), ("text", pa.string()), ("term", pa.int64()), ("df", pa.int64())])
-DOC, TERM = 0, 1
+_found_sql = f"row_key long, doc_id long, text_key long, base {_span_t}, pairs array<struct<e:long,t:long,c:long>>, entities array<long>, text string"
+_span_fields = [pa.field("kind", pa.string()), pa.field("start", pa.int32()), pa.field("end", pa.int32())]
+_pair_fields = [pa.field(c, pa.int64()) for c in "etc"]
+
+
+def _lists(values: pa.Array, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def _span_lists(spans: list[list[tuple[str, int, int]]]) -> pa.ListArray:
+    flat = [s for each in spans for s in each]
+    columns = [pa.array([s[i] for s in flat], f.type) for i, f in enumerate(_span_fields)]
+    return _lists(pa.StructArray.from_arrays(columns, fields=_span_fields), [len(x) for x in spans])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans of each document; of those that have any, also the pairs near them, the entities and the text."""
     from pyspark import TaskContext
 
-    key, df = TaskContext.get().partitionId() << 40, Counter()
-
-    def flush() -> pa.RecordBatch:
-        rows = [{"kind": TERM, "term": _hash(t), "df": n} for t, n in df.items()]
-        df.clear()
-        return pa.RecordBatch.from_pylist(rows, schema=_found)
-
-    for batch in batches:
-        rows = []
-        for doc_id, text, text_key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = text or ""
-            df.update(set(_word.findall(text.lower())))
-            base = base_spans(text)
-            row = {"kind": DOC, "row_key": key, "doc_id": doc_id, "text_key": text_key, "base": [{"kind": k, "start": s, "end": e} for k, spans in base.items() for s, e in spans]}
-            if row["base"]:
-                pairs, entities = _contexts(text, base)
-                row |= {"pairs": [{"e": e, "t": t, "c": c} for (e, t), c in pairs.items()], "entities": entities, "text": text}
-            rows.append(row)
-            key += 1
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=_found)
-        if len(df) >= DF_FLUSH:
-            yield flush()
-    if df:
-        yield flush()
+    key = TaskContext.get().partitionId() << 40
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_OUT):
+            batch = whole.slice(at, ROWS_OUT)
+            spans, pairs, entities, texts = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                base = base_spans(text or "")
+                spans.append([(k, s, e) for k, found in base.items() for s, e in found])
+                if spans[-1]:
+                    near, told = _contexts(text, base)
+                    pairs.append(near)
+                    entities.append(told)
+                    texts.append(text)
+                else:
+                    pairs.append(np.zeros((0, 3), np.int64))
+                    entities.append(np.zeros(0, np.int64))
+                    texts.append(None)
+            flat = np.concatenate(pairs)
+            pair_lists = _lists(pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], fields=_pair_fields), [len(p) for p in pairs])
+            keys = pa.array(np.arange(key, key + batch.num_rows))
+            key += batch.num_rows
+            yield pa.RecordBatch.from_arrays([keys, batch.column(0), batch.column(2), _span_lists(spans), pair_lists, _lists(pa.array(np.concatenate(entities)), [len(e) for e in entities]), pa.array(texts, pa.string())], names=["row_key", "doc_id", "text_key", "base", "pairs", "entities", "text"])
+
+
+def _filter_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap over the hashes ``at`` of ``keys``; of fixed size, so it may travel with a task."""
+    at = F.col("at").bitwiseAND(F.lit(FILTER_BITS - 1))
+    rows = keys.select(at.alias("at")).groupBy(F.floor(F.col("at") / BITMAP_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP_BITS).alias("bits")).collect()
+    bits = np.zeros((FILTER_BITS // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
+    for r in rows:
+        bits[r.bucket] = np.frombuffer(bytes(r.bits), np.uint8)
+    return bits.reshape(-1)
+
+
+def _in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.int64(FILTER_BITS - 1)
+    return bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
 
 
 def held_pairs(found: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -184,45 +217,67 @@ def held_pairs(found: DataFrame, candidates: DataFrame) -> DataFrame:
     the pairs drops most others in the document's own pass, so that no join
     makes a row for every document and candidate of an entity.
     """
-    at = F.col("e").bitwiseXOR(F.col("t")).bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = candidates.select(at.alias("at")).groupBy(F.floor(F.col("at") / BITMAP_BITS).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP_BITS).alias("bits")).collect()
-    bits = np.zeros((FILTER_BITS // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
-    for r in rows:
-        bits[r.bucket] = np.frombuffer(bytes(r.bits), np.uint8)
-    bits = bits.reshape(-1)
+    bits = _filter_bits(candidates.select(F.col("e").bitwiseXOR(F.col("t")).alias("at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, es, ts = [], [], []
             for key, base, entities, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                terms = np.asarray([_term[w] for w in {w for _, _, w in _words(text, [(x["start"], x["end"]) for x in base])}], np.int64)
+                words = _words(text, np.asarray([(x["start"], x["end"]) for x in base], np.int64).reshape(-1, 2))
+                terms = np.unique(_terms(text, words))
                 for e in entities:
-                    place = (terms ^ np.int64(e)) & np.int64(FILTER_BITS - 1)
-                    t = terms[bits[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1]
-                    keys.append(key)
-                    es.append(e)
-                    ts.append(t)
+                    t = terms[_in_filter(bits, terms ^ np.int64(e))]
+                    if len(t):
+                        keys.append(np.full(len(t), key, np.int64))
+                        es.append(np.full(len(t), e, np.int64))
+                        ts.append(t)
             if ts:
-                sizes = [len(t) for t in ts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes)), pa.array(np.repeat(es, sizes)), pa.array(np.concatenate(ts))], names=["row_key", "e", "t"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, es, ts)], names=["row_key", "e", "t"])
 
-    docs = found.filter((F.col("kind") == DOC) & F.col("text").isNotNull())
+    docs = found.filter(F.col("text").isNotNull())
     return staged(docs.select("row_key", "base", "entities", "text").mapInArrow(run, "row_key long, e long, t long"), "pii-held")
 
 
+def document_counts(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(t, df_t): in how many documents of ``rows(text)`` each candidate's term occurs; a few other terms come too.
+
+    Terms are counted as strings within a worker, then hashed and met with a
+    bitmap of fixed size over the candidates' terms.
+    """
+    bits = _filter_bits(candidates.select(F.col("t").alias("at")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            t = np.fromiter(map(_hash, df), np.int64, len(df))
+            n = np.fromiter(df.values(), np.int64, len(df))
+            df.clear()
+            asked = _in_filter(bits, t)
+            return pa.RecordBatch.from_arrays([pa.array(t[asked]), pa.array(n[asked])], names=["t", "df"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                df.update(set(_word.findall((text or "").lower())))
+                if len(df) >= DF_FLUSH:
+                    yield flush()
+        if df:
+            yield flush()
+
+    return rows.select("text").mapInArrow(run, "t long, df long").groupBy("t").agg(F.sum("df").alias("df_t"))
+
+
 def candidate_pairs(found: DataFrame, support: int = SUPPORT) -> DataFrame:
     """(e, t) of the pairs that at least ``support`` different windows hold."""
-    pairs = found.filter(F.col("kind") == DOC).select(F.explode("pairs").alias("p")).select("p.e", "p.t", "p.c")
+    pairs = found.select(F.explode("pairs").alias("p")).select("p.e", "p.t", "p.c")
     return pairs.groupBy("e", "t").agg(F.countDistinct("c").alias("contexts")).filter(F.col("contexts") >= support).select("e", "t")
 
 
-def disclosures(found: DataFrame, candidates: DataFrame, held: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
+def disclosures(found: DataFrame, candidates: DataFrame, held: DataFrame, df_t: DataFrame, remove: float = REMOVE, generalise: float = GENERALISE) -> DataFrame:
     """(e, t, ratio, level) of the candidates over the thresholds; level 2 removes, 1 generalises."""
-    docs = found.filter(F.col("kind") == DOC)
     joint = held.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n")).join(candidates, ["e", "t"])
-    df_e = docs.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("df_e"))
-    df_t = found.filter(F.col("kind") == TERM).groupBy(F.col("term").alias("t")).agg(F.sum("df").alias("df_t"))
-    total = docs.agg(F.count(F.lit(1)).cast("double").alias("total"))
+    df_e = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("df_e"))
+    total = found.agg(F.count(F.lit(1)).cast("double").alias("total"))
     scored = joint.join(df_e, "e").join(df_t, "t").crossJoin(F.broadcast(total))  # total is one row
     carried = F.log2(F.col("total") / F.col("df_e"))
     pmi = F.log2(F.col("n") * F.col("total") / (F.col("df_e").cast("double") * F.col("df_t")))
@@ -232,22 +287,27 @@ def disclosures(found: DataFrame, candidates: DataFrame, held: DataFrame, remove
 
 
 def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            spans = [(b["kind"], b["start"], b["end"]) for b in r["base"]]
-            counts = Counter(k for k, _, _ in spans)
-            joined = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-            if r["hits"]:
-                level = {h["t"]: h["level"] for h in sorted(r["hits"], key=lambda h: h["level"])}
-                words = [(level.get(_term[w], 0), s, e) for s, e, w in _words(r["text"], [(s, e) for _, s, e in spans])]
-                more = [("removed" if n == 2 else "general", s, e) for n, s, e in words if n]
-                spans += sorted(more, key=lambda x: (x[0] == "general", x[1]))
-            rows.append({k: r[k] for k in ("doc_id", "text_key")} | {f"n_{k}": counts[k] for k in KINDS[:4]} | {"base_sha256": hashlib.sha256(joined.encode()).hexdigest(), "spans": [{"kind": k, "start": s, "end": e} for k, s, e in spans]})
-        yield pa.RecordBatch.from_pylist(rows, schema=_merged)
-
-
-_merged = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", _span)])
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_OUT):
+            batch = whole.slice(at, ROWS_OUT)
+            all_spans, counts, digests = [], {k: [] for k in KINDS[:4]}, []
+            for base, hits, text in zip(*(batch.column(c).to_pylist() for c in ("base", "hits", "text")), strict=True):
+                spans = [(b["kind"], b["start"], b["end"]) for b in base]
+                held = Counter(k for k, _, _ in spans)
+                for k, n in counts.items():
+                    n.append(held[k])
+                digests.append(hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest())
+                if hits:
+                    told = {h["t"]: h["level"] for h in sorted(hits, key=lambda h: h["level"])}
+                    words = _words(text, np.asarray([s[1:] for s in spans], np.int64).reshape(-1, 2))
+                    terms = _terms(text, words)
+                    hit = np.isin(terms, np.fromiter(told, np.int64, len(told)))
+                    more = [("removed" if told[t] == 2 else "general", s, e) for t, (s, e) in zip(terms[hit].tolist(), words[hit].tolist(), strict=True)]
+                    spans += sorted(more, key=lambda x: (x[0] == "general", x[1]))
+                all_spans.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(n, pa.int64()) for n in counts.values()), pa.array(digests, pa.string()), _span_lists(all_spans)], names=["doc_id", "text_key", *(f"n_{k}" for k in counts), "base_sha256", "spans"])
+
+
 _merged_sql = "doc_id long, text_key long, " + ", ".join(f"n_{k} long" for k in KINDS[:4]) + f", base_sha256 string, spans {_span_t}"
 
 
@@ -262,13 +322,12 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE,
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = staged(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_scan, _found_sql), "pii-found", "kind").select(*[f.split()[0] for f in ("kind", "row_key", "doc_id", "text_key", "base", "pairs", "entities", "text", "term", "df")])
+    found = staged(rows.withColumn("text_key", F.xxhash64("text")).mapInArrow(_scan, _found_sql), "pii-found")
     candidates = staged(candidate_pairs(found, support), "pii-candidates")
     held = held_pairs(found, candidates)
-    told = staged(disclosures(found, candidates, held, remove, generalise), "pii-disclosures")
-    docs_found = found.filter(F.col("kind") == DOC)
+    told = staged(disclosures(found, candidates, held, document_counts(rows, candidates), remove, generalise), "pii-disclosures")
     hits = held.join(told.select("e", "t", "level"), ["e", "t"]).groupBy("row_key").agg(F.collect_list(F.struct("t", "level")).alias("hits"))
-    joined = docs_found.join(hits, "row_key", "left").select("doc_id", "text_key", "base", "text", F.transform("hits", lambda h: F.struct(h.t.alias("t"), h.level.alias("level"))).alias("hits"))
+    joined = found.join(hits, "row_key", "left").select("doc_id", "text_key", "base", "text", "hits")
     return joined.mapInArrow(_merge_spans, _merged_sql)
 
 
@@ -290,18 +349,24 @@ def rewrite(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def sanitize(docs: DataFrame, **thresholds: float) -> DataFrame:
-    """``docs`` with personal data replaced in ``text``; all columns, rows and null texts are kept."""
-    spans = find_spans(docs, **thresholds).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_i"), F.col("text_key").alias("_k"), F.col("spans").alias("_spans")).dropDuplicates(["_i", "_k"])
+    """``docs`` with personal data replaced in ``text``; all columns and rows are kept.
+
+    Null and empty texts stay as they are, rows without doc_id are treated like
+    others, repeated rows get equal texts, an empty table stays empty; other
+    columns may have any name.
+    """
+    at_id, at_key, at_spans = (own_name(docs, n) for n in ("span_id", "span_key", "spans"))
+    spans = find_spans(docs, **thresholds).filter(F.size("spans") > 0).select(F.col("doc_id").alias(at_id), F.col("text_key").alias(at_key), F.col("spans").alias(at_spans)).dropDuplicates([at_id, at_key])
     spans = staged(spans, "pii-spans")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(spans["_i"]) & (keyed["_key"] == spans["_k"]), "left").drop("_i", "_k", "_key")
-    at_text, at_spans = joined.columns.index("text"), joined.columns.index("_spans")
+    same = docs["doc_id"].cast("long").eqNullSafe(spans[at_id]) & (F.xxhash64(docs["text"].cast("string")) == spans[at_key])
+    joined = docs.join(spans, same, "left").drop(at_id, at_key)
+    text_at, spans_at = joined.columns.index("text"), joined.columns.index(at_spans)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t is None or not s else rewrite(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(batch.column(at_text).to_pylist(), batch.column(at_spans).to_pylist(), strict=True)]
-            columns = [pa.array(texts, pa.string()) if i == at_text else c for i, c in enumerate(batch.columns) if i != at_spans]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != batch.schema.names[at_spans]])
+            texts = [t if t is None or not s else rewrite(t, [(x["kind"], x["start"], x["end"]) for x in s]) for t, s in zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist(), strict=True)]
+            columns = [pa.array(texts, pa.string()) if i == text_at else c for i, c in enumerate(batch.columns) if i != spans_at]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != spans_at])
 
     return joined.mapInArrow(apply, docs.schema)
 
