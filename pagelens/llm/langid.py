@@ -8,6 +8,7 @@ over its training texts; a text gets the language of the largest cosine.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import bounded_batches, texts_of
 
 DIM, ORDER, UNKNOWN = 1024, 3, "und"
-#: Texts bundled by one matrix product.
-GROUP_CHARS, GROUP_TEXTS = 400_000, 256
+#: Characters, texts and distinct n-grams bundled by one matrix product; its float32 sums stay whole numbers.
+GROUP_CHARS, GROUP_TEXTS, GRAMS = 400_000, 256, 4096
 
 
 def letter_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
@@ -35,64 +36,90 @@ def letter_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
     return (bits.astype(np.int8) * 2 - 1).astype(np.int8)
 
 
-def letters_of(text: str) -> str:
-    """Lower case, with everything but letters as a single boundary blank."""
-    return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) if not text.isascii() else " ".join(text.lower().translate(_ascii_letters).split())
+class _Letters(dict):
+    """Code point to itself if a letter, else to a blank, as ``str.translate`` asks for it."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = got = c if (c := chr(code)).isalpha() else " "
+        return got
+
 
+_letters, _blanks = _Letters(), re.compile("  +")
 
-_ascii_letters = {c: " " for c in range(128) if not chr(c).isalpha()}
+
+def letters_of(text: str) -> str:
+    """Lower case, with everything but letters as a single boundary blank."""
+    return _blanks.sub(" ", text.lower().translate(_letters)).strip(" ")
 
 
 def bundle(texts: list[str], dim: int = DIM) -> np.ndarray:
-    """Sums of bound n-gram vectors of texts in ``letters_of`` form, one row each."""
-    out = np.zeros((len(texts), dim), np.float32)
-    parts = [np.frombuffer(f" {t} ".encode("utf-32-le", "surrogatepass"), "<u4") if t else np.zeros(0, "<u4") for t in texts]
-    codes = np.concatenate(parts)
-    if not len(codes):
-        return out
-    doc = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+    """Sums of bound n-gram vectors of texts in ``letters_of`` form, one row each.
+
+    Sums are whole numbers below 2**53, so they don't depend on what is
+    bundled beside a text. Memory is bounded: long texts are cut into pieces
+    that overlap by an n-gram, and n-grams are bound ``GRAMS`` at a time.
+    """
+    out = np.zeros((len(texts), dim))
+    held: list[tuple[int, str]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        t = f" {t} " if t else ""
+        for at in range(0, max(len(t) - ORDER + 1, 0), GROUP_CHARS):
+            held.append((i, t[at : at + GROUP_CHARS + ORDER - 1]))
+            size += len(held[-1][1])
+            if size >= GROUP_CHARS or len(held) >= GROUP_TEXTS:
+                _add_bundles(held, out)
+                held, size = [], 0
+    if held:
+        _add_bundles(held, out)
+    return out
+
+
+def _add_bundles(pieces: list[tuple[int, str]], out: np.ndarray) -> None:
+    dim = out.shape[1]
+    codes = np.frombuffer("".join(t for _, t in pieces).encode("utf-32-le", "surrogatepass"), "<u4")
+    doc = np.repeat(np.arange(len(pieces)), [len(t) for _, t in pieces])
     alphabet, code = np.unique(codes, return_inverse=True)
     whole = doc[ORDER - 1 :] == doc[: len(doc) - ORDER + 1]
     gram = np.zeros(len(codes) - ORDER + 1, np.int64)
     for k in range(ORDER):
         gram = gram * len(alphabet) + code[k : len(codes) - ORDER + 1 + k]
     gram, doc = gram[whole], doc[ORDER - 1 :][whole]
+    order = np.argsort(gram, kind="stable")
+    gram, doc = gram[order], doc[order]
     grams, which = np.unique(gram, return_inverse=True)
-    counts = np.bincount(doc * len(grams) + which, minlength=len(texts) * len(grams)).reshape(len(texts), -1).astype(np.float32)
-    letters = letter_vectors(alphabet, dim)
-    bound, rest = np.ones((len(grams), dim), np.int8), grams
-    for k in range(ORDER):  # the last letter isn't rolled, those before it by one more each
-        bound *= np.roll(letters, k, axis=1)[rest % len(alphabet)]
-        rest = rest // len(alphabet)
-    return counts @ bound.astype(np.float32)
-
-
-def _grouped(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and (size + len(t) > GROUP_CHARS or i - at >= GROUP_TEXTS):
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+    letters, sums = letter_vectors(alphabet, dim), np.zeros((len(pieces), dim))
+    for lo in range(0, len(grams), GRAMS):
+        some = grams[lo : lo + GRAMS]
+        a, b = np.searchsorted(which, [lo, lo + len(some)])
+        counts = np.bincount(doc[a:b] * len(some) + which[a:b] - lo, minlength=len(pieces) * len(some)).reshape(len(pieces), -1).astype(np.float32)
+        bound, rest = np.ones((len(some), dim), np.int8), some
+        for k in range(ORDER):  # the last letter isn't rolled, those before it by one more each
+            bound *= np.roll(letters, k, axis=1)[rest % len(alphabet)]
+            rest = rest // len(alphabet)
+        sums += counts @ bound.astype(np.float32)
+    np.add.at(out, [i for i, _ in pieces], sums)
 
 
 def train(labelled: DataFrame, dim: int = DIM) -> dict[str, np.ndarray]:
-    """Prototypes from ``labelled(text, lang)``, all rows of it; one vector a language comes to the driver."""
+    """Prototypes from ``labelled(text, lang)``, all rows of it; one vector a language comes to the driver.
+
+    Null, empty and letterless texts add nothing, nor do rows without lang;
+    repeated rows count each time; an empty table gives no prototype; other
+    columns are ignored. A language without a letter in its texts isn't learned.
+    """
     schema = pa.schema([("lang", pa.string()), ("vector", pa.list_(pa.int64()))])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             texts, langs = [letters_of(t) for t in texts_of(batch.column(0))], np.asarray(batch.column(1).to_pylist(), object)
-            for lo, hi in _grouped(texts):
-                rows = bundle(texts[lo:hi], dim)
-                for lang in set(langs[lo:hi]):
-                    total[lang] = total.get(lang, 0) + rows[langs[lo:hi] == lang].sum(0, dtype=np.float64).astype(np.int64)
+            rows = bundle(texts, dim)
+            for lang in set(langs):
+                total[lang] = total.get(lang, 0) + rows[langs == lang].sum(0).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"lang": list(total), "vector": [v.tolist() for v in total.values()]}, schema=schema)
 
-    parts = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(add, "lang string, vector array<long>")
+    parts = labelled.filter(F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(add, "lang string, vector array<long>")
     sums = parts.select("lang", F.posexplode("vector")).groupBy("lang", "pos").agg(F.sum("col").alias("v"))
     model: dict[str, np.ndarray] = {}
     for r in sums.collect():
@@ -110,17 +137,18 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], dim: int = DIM) -> Da
     """
     bounded_batches(docs.sparkSession)
     kept = docs.drop("lang_pred", "score")
-    names, table = list(model), np.stack(list(model.values())).astype(np.float32) if model else np.zeros((0, dim), np.float32)
+    names, table = list(model), list(model.values())
     at_text = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [letters_of(t) for t in texts_of(batch.column(at_text).cast(pa.string()))]
             langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for lo, hi in _grouped(texts) if names else ():
-                rows = bundle(texts[lo:hi], dim)
-                norm = np.linalg.norm(rows, axis=1)
-                cosine = rows @ table.T / np.where(norm > 0, norm, 1)[:, None]
+            for lo in range(0, len(texts) if names else 0, GROUP_TEXTS):
+                rows = bundle(texts[lo : lo + GROUP_TEXTS], dim)
+                norm = np.sqrt((rows * rows).sum(1))
+                # Each row is summed by itself, so that its score doesn't hang on the rows beside it.
+                cosine = np.stack([(rows * v).sum(1) for v in table], 1) / np.where(norm > 0, norm, 1)[:, None]
                 best = cosine.argmax(1)
                 for i in np.flatnonzero(norm > 0):
                     langs[lo + i] = names[best[i]]
