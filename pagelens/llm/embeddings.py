@@ -1,7 +1,9 @@
 """Near-duplicate embeddings in spherical k-means cells (operator 5).
 
-Centroids are learned from a bounded sample (``SAMPLE`` vectors by hash of
-their id); they only decide where vectors meet, never whether they are linked.
+Centroids are learned for each of the ``LENGTHS`` commonest vector lengths from
+a bounded sample (``SAMPLE`` vectors by hash of their id); they only decide
+where vectors meet, never whether they are linked. Vectors of a rarer length
+meet in one cell for their length and label.
 A vector lives in its nearest cell and also visits every cell whose border is
 within the link distance d = sqrt(2 - 2 * threshold): for unit vectors x in
 cell c and y in cell c', x.(c - c') >= 0, so |x - y| <= d needs
@@ -21,7 +23,11 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, staged
 from .components import connected_components
 
-THRESHOLD, SAMPLE, VECTORS_PER_CELL, MAX_CELLS, BLOCK, ROUNDS = 0.98, 20_000, 8192, 256, 1024, 8
+THRESHOLD, SAMPLE, LENGTHS, VECTORS_PER_CELL, ROUNDS = 0.98, 20_000, 16, 8192, 8
+#: Sampled vectors a centroid needs, and so the most cells of a length: SAMPLE / 16.
+SAMPLED_PER_CELL = 16
+#: Home vectors that a task compares at once, and vectors that pass them at a time.
+BLOCK, PASSING = 4096, 512
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -47,24 +53,34 @@ def _unit(column: pa.Array) -> np.ndarray:
 _assigned = pa.schema([("label", pa.string()), ("cell", pa.int32()), ("home", pa.bool_()), ("rep", pa.int64()), ("w", pa.int64()), ("unit", pa.binary())])
 
 
-def _assign(classes: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
+def _assign(classes: DataFrame, centroids: dict[int, np.ndarray], threshold: float) -> DataFrame:
     reach = (2 - 2 * threshold) ** 0.5 + 1e-9
-    apart = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
+
+    def place(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, whether its home) of each cell that a vector lives in or visits."""
+        centers = centroids.get(unit.shape[1])
+        if centers is None:
+            return np.arange(len(unit)), np.zeros(len(unit), np.int64), np.ones(len(unit), bool)
+        cosine = unit @ centers.T
+        home = cosine.argmax(1)
+        apart = np.sqrt(np.maximum(2 - 2 * centers[home] @ centers.T, 0))
+        row, cell = np.nonzero(cosine[np.arange(len(unit)), home][:, None] - cosine <= reach * apart + 1e-7)
+        return row, cell, cell == home[row]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                unit = _unit(batch.column("embedding"))
-                cosine = unit @ centroids.T
-                home = cosine.argmax(1)
-                near = cosine[np.arange(len(unit)), home][:, None] - cosine <= reach * apart[home] + 1e-12
-                row, cell = np.nonzero(near)
-                raw = pa.array([u.tobytes() for u in unit], pa.binary())
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array(cell, pa.int32()), pa.array(cell == home[row]), batch.column("rep").take(take), batch.column("w").take(take), raw.take(take)], schema=_assigned)
+            for at in range(0, whole.num_rows, 1024):
+                some = whole.slice(at, 1024)
+                lengths = some.column("embedding").value_lengths().to_numpy()
+                for d in np.unique(lengths):
+                    batch = some.take(pa.array(np.flatnonzero(lengths == d)))
+                    unit = _unit(batch.column("embedding"))
+                    row, cell, home = place(unit)
+                    raw, take = pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(row)
+                    yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array(cell, pa.int32()), pa.array(home), batch.column("rep").take(take), batch.column("w").take(take), raw.take(take)], schema=_assigned)
 
-    return classes.select("label", "rep", "w", "embedding").mapInArrow(run, "label string, cell int, home boolean, rep long, w long, unit binary")
+    within = F.concat_ws(":", F.size("embedding").cast("string"), "label").alias("label")  # vectors of different lengths never meet
+    return classes.select(within, "rep", "w", "embedding").mapInArrow(run, "label string, cell int, home boolean, rep long, w long, unit binary")
 
 
 _linked = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
@@ -121,11 +137,11 @@ def _compare(threshold: float):
         key, cell = None, None
         for whole in batches:
             names = whole.schema.names
-            for at in range(0, whole.num_rows, BLOCK):
-                batch = whole.slice(at, BLOCK)
+            for at in range(0, whole.num_rows, PASSING):
+                batch = whole.slice(at, PASSING)
                 keys = list(zip(*(batch.column(names.index(c)).to_pylist() for c in ("label", "cell", "block", "role")), strict=True))
                 reps, w = batch.column("rep").to_numpy(), batch.column("w").to_numpy()
-                unit = np.stack([np.frombuffer(u, np.float64) for u in batch.column("unit").to_pylist()])
+                unit = [np.frombuffer(u, np.float64) for u in batch.column("unit").to_pylist()]
                 lo = 0
                 while lo < len(keys):
                     hi = lo + 1
@@ -137,9 +153,9 @@ def _compare(threshold: float):
                         key, cell = keys[lo][:3], _Cell(threshold)
                     if keys[lo][3] == 0:
                         cell.rep += reps[lo:hi].tolist()
-                        cell.unit += list(unit[lo:hi])
+                        cell.unit += unit[lo:hi]
                     else:
-                        yield from cell.meet(reps[lo:hi], w[lo:hi], unit[lo:hi])
+                        yield from cell.meet(reps[lo:hi], w[lo:hi], np.stack(unit[lo:hi]))
                     lo = hi
         if cell is not None:
             yield cell.counts()
@@ -152,10 +168,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
 
     Vectors of equal, non-null labels are linked at cosine >= ``threshold`` in
     double precision. Equal vectors of a label are one class with a weight, so
-    a vector that many rows repeat is compared once. A vector that is null,
-    empty, zero, of another length than most, or holds null or non-finite
-    components links with nothing, nor does a row without id or label: its
-    n_links is 0 and it is its own component. Of a component the row with the
+    a vector that many rows repeat is compared once. Vectors of different
+    lengths have no cosine and are compared with their own length only. A
+    vector that is null, empty, zero, or holds null or non-finite components
+    links with nothing, nor does a row without id or label: its n_links is 0
+    and it is its own component. Of a component the row with the
     least id is kept. Repeated ids are rows of one node. An empty table gives
     no rows; other columns are ignored.
     """
@@ -164,17 +181,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
     finite = F.coalesce(F.forall("embedding", lambda x: F.coalesce((x > float("-inf")) & (x < float("inf")), F.lit(False))) & F.exists("embedding", lambda x: x != 0.0), F.lit(False))
     usable = finite & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
-    vkey = F.when(usable, F.sha2(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), 256))
+    vkey = F.when(usable, F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b")))  # 128 bits
     rows = rows.withColumn("vkey", vkey)
     classes = rows.filter(F.col("vkey").isNotNull()).groupBy("label", "vkey").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("w"), F.first("embedding").alias("embedding"))
     classes = staged(classes, "vector-classes")
-    sizes = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim, total = (sizes[0].d, classes.count()) if sizes else (1, 0)
-    classes_d = classes.filter(F.size("embedding") == dim)
-    sample = classes_d.select("embedding", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(SAMPLE).select("embedding").toArrow()["embedding"]
-    k = max(1, min(MAX_CELLS, total // VECTORS_PER_CELL, len(sample) or 1))
-    centroids = spherical_kmeans(_unit(sample.combine_chunks()), k) if len(sample) else np.eye(1, dim)
-    placed = staged(_assign(classes_d, centroids, threshold), "vector-cells")
+    sizes = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect()
+    centroids = {}
+    for r in sizes:
+        if r["count"] >= 2 * VECTORS_PER_CELL:
+            sample = classes.filter(F.size("embedding") == r.d).select("embedding", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(SAMPLE).select("embedding").toArrow()["embedding"]
+            k = min(r["count"] // VECTORS_PER_CELL, max(1, len(sample) // SAMPLED_PER_CELL))
+            centroids[r.d] = spherical_kmeans(_unit(sample.combine_chunks()), k)
+    placed = staged(_assign(classes, centroids, threshold), "vector-cells")
     blocks = placed.filter("home").groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     met = placed.join(blocks, ["label", "cell"])
     homes = met.filter("home").select("label", "cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "rep", "w", "unit")
