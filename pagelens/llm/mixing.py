@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import own_name, staged
 
 SEED = "mix-1"
 #: A larger mean is drawn as a sum of equal Poisson draws, so that exp(-mean) keeps its precision.
@@ -59,22 +59,24 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     and repeats after a lost executor. Adds ``mix_copy`` (0, 1, ...),
     ``mix_copies`` and the order's ``mix_key``; input columns of these names
     are replaced, all others kept. A null source is a source of its own, null
-    text counts no characters, a null doc_id draws as the text ``null``,
-    repeated rows draw alike, an empty table gives no rows. Rates are one row
+    text counts no characters, a row without doc_id draws by its text's hash,
+    repeated rows draw alike, an empty table gives no rows, other columns may
+    have any name. Rates are one row
     a source: written as a table, so the planner broadcasts them only under
     its size threshold and else joins by shuffle with skew splitting.
     """
     kept = docs.drop(*ADDED)
-    rates = staged(source_rates(kept, weights, epochs).select(F.col("source").alias("_mix_source"), F.col("draws").alias("_mix_draws"), F.col("cdf").alias("_mix_cdf")), "mix-rates")
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    joined = kept.join(rates, kept["source"].eqNullSafe(rates["_mix_source"]))
+    at_source, at_draws, at_cdf = (own_name(kept, n) for n in ("mix_source", "mix_draws", "mix_cdf"))
+    rates = staged(source_rates(kept, weights, epochs).select(F.col("source").alias(at_source), F.col("draws").alias(at_draws), F.col("cdf").alias(at_cdf)), "mix-rates")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+    joined = kept.join(rates, kept["source"].eqNullSafe(rates[at_source]))
 
     def drawn(j: Column) -> Column:
         u = uniform(F.lit(seed), key, j.cast("string"))
-        return F.size(F.filter("_mix_cdf", lambda c: c <= u))
+        return F.size(F.filter(at_cdf, lambda c: c <= u))
 
-    copies = F.aggregate(F.sequence(F.lit(1), F.col("_mix_draws")), F.lit(0), lambda n, j: n + drawn(j))
-    many = joined.withColumn("mix_copies", copies).filter(F.col("mix_copies") > 0).drop("_mix_source", "_mix_draws", "_mix_cdf")
+    copies = F.aggregate(F.sequence(F.lit(1), F.col(at_draws)), F.lit(0), lambda n, j: n + drawn(j))
+    many = joined.withColumn("mix_copies", copies).filter(F.col("mix_copies") > 0).drop(at_source, at_draws, at_cdf)
     many = many.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     many = many.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), key, F.col("mix_copy").cast("string"))))
     return many.select(*kept.columns, *ADDED).orderBy("mix_key")
@@ -93,9 +95,10 @@ mu AS (SELECT source, greatest(1, CAST(ceil(mean / 256) AS INTEGER)) AS draws, m
 term AS (SELECT source, mu, k, exp(-mu) * product(CASE WHEN k = 0 THEN 1 ELSE mu / k END) OVER (PARTITION BY source ORDER BY k) AS p
   FROM (SELECT source, mu, unnest(range(0, CAST(ceil(mu + 12 * sqrt(mu) + 20) AS BIGINT) + 1)) AS k FROM mu)),
 cdf AS (SELECT source, list(c ORDER BY k) AS cdf FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM term) GROUP BY source),
-drawn AS (SELECT d.doc_id, d.source, d.text, cdf, CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
-  FROM documents d JOIN mu USING (source) JOIN cdf USING (source), generate_series(1, 1000) g(j) WHERE j <= draws),
-n AS (SELECT doc_id, source, text, CAST(sum(len(list_filter(cdf, lambda c: c <= u))) AS INTEGER) AS mix_copies FROM drawn GROUP BY ALL),
-cop AS (SELECT doc_id, source, text, CAST(unnest(range(0, mix_copies)) AS INTEGER) AS mix_copy, mix_copies FROM n)
-SELECT doc_id, source, text, mix_copy, mix_copies, md5('{SEED}:order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || mix_copy) AS mix_key FROM cop
+doc AS (SELECT row_number() OVER () AS rn, coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, ''))) AS id, doc_id, source, text FROM documents),
+drawn AS (SELECT rn, cdf, CAST('0x' || substr(md5('{SEED}:' || id || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  FROM (SELECT rn, id, doc.source, unnest(range(1, draws + 1)) AS j FROM doc JOIN mu ON doc.source IS NOT DISTINCT FROM mu.source) d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source),
+n AS (SELECT rn, CAST(sum(len(list_filter(cdf, lambda c: c <= u))) AS INTEGER) AS mix_copies FROM drawn GROUP BY rn),
+cop AS (SELECT id, doc_id, source, text, CAST(unnest(range(0, mix_copies)) AS INTEGER) AS mix_copy, mix_copies FROM n JOIN doc USING (rn))
+SELECT doc_id, source, text, mix_copy, mix_copies, md5('{SEED}:order:' || id || ':' || mix_copy) AS mix_key FROM cop
 """
