@@ -20,15 +20,13 @@ from pagelens.llm.pii import sanitize
 from pagelens.llm.tokens import default_path
 
 TOKENIZER = "word_bpe_49k.json"
-#: Texts whose cosine with every language is below this are in none of them. Two-letter texts of a learned language lie above.
-LEAST_SCORE = 0.02
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter or like no language go."""
+    """Documents in one of the learned languages; those without a letter go."""
     columns = docs.columns
     model = train(training_rows(docs).select("text", "lang"))
-    return predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    return predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
