@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_iou, centre_box, shifted_box
-from ..functions.text import cer, edit_distance, strip, text_similarity
+from ..functions.text import cer, strip, text_similarity
 from ..sources.fixtures import PAGE_H, PAGE_W
 
 IOU, SIMILAR, OCCLUDED = 0.1, 0.5, 0.3
@@ -23,34 +25,43 @@ IOU, SIMILAR, OCCLUDED = 0.1, 0.5, 0.3
 def iou_pairs(clean: DataFrame, adv: DataFrame) -> DataFrame:
     c, a = clean.alias("c"), adv.alias("a")
     box = lambda s: centre_box(*(F.col(f"{s}.{n}") for n in ("x", "y", "w", "h")))
-    joined = c.join(a, "page_id")
-    return joined.select("page_id", "config_id", "elem_id", "adv_id", box_iou(box("c"), box("a")).alias("iou"), F.col("a.text").alias("adv_text"), F.col("a.type").alias("adv_type"))
+    return c.join(a, "page_id").select("page_id", "config_id", "elem_id", "adv_id", box_iou(box("c"), box("a")).alias("iou"))
 
 
-def best_match(clean: DataFrame, adv: DataFrame, pages: DataFrame) -> DataFrame:
+def best_match(clean: DataFrame, adv: DataFrame, pages: DataFrame, texts: bool = True) -> DataFrame:
     """Per (page, config, clean element) the perturbed element of the largest IoU; adv_id -1 and IoU 0 if none overlaps.
 
     ``pages(page_id, config_id)`` supplies the configs under which a page has
-    no perturbed element at all; n_adv counts those it has.
+    no perturbed element at all; n_adv counts those it has. A page's perturbed
+    boxes travel as one array of numbers beside each clean element, so the
+    search makes no row for a pair; texts and types (``texts``) are joined to
+    the one match afterwards.
     """
-    top = iou_pairs(clean, adv).filter("iou > 0").groupBy("page_id", "config_id", "elem_id").agg(F.max(F.struct("iou", (-F.col("adv_id")).alias("order"), "adv_text", "adv_type")).alias("m"))
-    n_adv = adv.groupBy("page_id", "config_id").agg(F.count(F.lit(1)).alias("n_adv"))
-    grid = pages.select("page_id", "config_id").join(n_adv, ["page_id", "config_id"], "left")
-    rows = clean.join(grid, "page_id").join(top, ["page_id", "config_id", "elem_id"], "left")
-    return rows.select(*clean.columns, "config_id", F.coalesce("n_adv", F.lit(0)).alias("n_adv"), F.coalesce("m.iou", F.lit(0.0)).alias("iou"), F.coalesce(-F.col("m.order"), F.lit(-1)).alias("adv_id"), "m.adv_text", "m.adv_type")
+    box = centre_box(*(F.col(n) for n in ("x", "y", "w", "h")))
+    boxes = adv.groupBy("page_id", "config_id").agg(F.collect_list(F.struct("adv_id", *(c.alias(n) for c, n in zip(box, ("x1", "y1", "x2", "y2"), strict=True)))).alias("_adv"))
+    rows = clean.join(pages.select("page_id", "config_id").join(boxes, ["page_id", "config_id"], "left"), "page_id")
+    laps = F.transform("_adv", lambda a: F.struct(box_iou(box, (a.x1, a.y1, a.x2, a.y2)).alias("iou"), (-a.adv_id).alias("order")))
+    rows = rows.withColumn("_top", F.array_max(laps))
+    found = F.coalesce(F.col("_top.iou") > 0, F.lit(False))
+    best = rows.select(*clean.columns, "config_id", F.coalesce(F.size("_adv"), F.lit(0)).cast("long").alias("n_adv"), F.when(found, F.col("_top.iou")).otherwise(F.lit(0.0)).alias("iou"), F.when(found, -F.col("_top.order")).otherwise(F.lit(-1)).alias("adv_id"))
+    if not texts:
+        return best
+    said = adv.select("page_id", "config_id", "adv_id", F.col("text").alias("adv_text"), F.col("type").alias("adv_type"))
+    return best.join(said, ["page_id", "config_id", "adv_id"], "left")
 
 
 def unmatched(clean: DataFrame, adv: DataFrame, pages: DataFrame, iou: float = IOU) -> DataFrame:
-    """Clean elements that no perturbed element reaches at ``iou`` (an anti-join on page and overlap)."""
-    grid = clean.join(pages.select("page_id", "config_id"), "page_id")
-    hit = iou_pairs(clean, adv).filter(F.col("iou") >= iou).select("page_id", "config_id", "elem_id")
-    return grid.join(hit, ["page_id", "config_id", "elem_id"], "left_anti")
+    """Clean elements that no perturbed element reaches at ``iou``."""
+    return best_match(clean, adv, pages, texts=False).filter(F.col("iou") < iou).select(*clean.columns, "config_id")
 
 
 def with_similarity(match: DataFrame) -> DataFrame:
-    """Adds ``similarity`` of a match's texts, null where there is none to compare; equal texts never reach the UDF's main path."""
-    both = (F.col("adv_id") >= 0) & (strip(F.col("text")) != "")
-    return match.withColumn("similarity", F.when(both, text_similarity(F.col("text"), F.col("adv_text"))))
+    """Adds ``similarity`` of a match's texts, null where there is none to compare; equal and blank texts are settled without Python."""
+    compared = (F.col("adv_id") >= 0) & (strip(F.col("text")) != "")
+    a, b = F.lower(strip(F.col("text"))), F.lower(strip(F.col("adv_text")))
+    differ = compared & (b != "") & (a != b)
+    found = text_similarity(F.when(differ, F.col("text")), F.when(differ, F.col("adv_text")))
+    return match.withColumn("similarity", F.when(compared, F.when(b == "", F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(found)))
 
 
 def _lost(iou: float, similar: float | None) -> Column:
@@ -124,52 +135,86 @@ def mask_metrics(clean: DataFrame, masks: DataFrame, page_w: int = PAGE_W, page_
     return rows.groupBy("page_id", "config_id").agg(F.first(F.greatest(F.lit(0), mask) / float(page_w * page_h)).alias("tor"), F.avg(touched.cast("double")).alias("boc"), F.avg((cover >= 1).cast("double")).alias("eir"))
 
 
-def _boxes(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """A page's blocks as one array in order; pages are the unit of every fold, so the array is a page's size."""
-    item = F.struct(order, "x", "y", "w", "h", F.coalesce("text", F.lit("")).alias("text"))
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(name))
+def struct_columns(lists: pa.ListArray, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(starts of the rows and the end, numbers) of an array-of-structs column; a null row is empty."""
+    sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy()
+    flat = lists.flatten()
+    fields = dict(zip((f.name for f in flat.type), flat.flatten(), strict=True))
+    return np.concatenate([[0], np.cumsum(sizes)]), [fields[n].to_numpy(zero_copy_only=False) for n in names]
 
 
-def overlap_of(a: dict, b: dict) -> float:
-    """IoU of two blocks given by centre and size."""
-    inter = max(0.0, min(a["x"] + a["w"] / 2, b["x"] + b["w"] / 2) - max(a["x"] - a["w"] / 2, b["x"] - b["w"] / 2)) * max(0.0, min(a["y"] + a["h"] / 2, b["y"] + b["h"] / 2) - max(a["y"] - a["h"] / 2, b["y"] - b["h"] / 2))
-    union = a["w"] * a["h"] + b["w"] * b["h"] - inter
-    return inter / union if union > 0 else 0.0
+def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of boxes (x, y, w, h by centre and size), one row for each of ``a``; 0 where a union is empty."""
+    low = np.maximum((a[:, :2] - a[:, 2:] / 2)[:, None], b[:, :2] - b[:, 2:] / 2)
+    high = np.minimum((a[:, :2] + a[:, 2:] / 2)[:, None], b[:, :2] + b[:, 2:] / 2)
+    inter = np.maximum(high - low, 0).prod(2)
+    whole = a[:, 2:].prod(1)[:, None] + b[:, 2:].prod(1) - inter
+    return np.divide(inter, whole, out=np.zeros_like(inter), where=whole > 0)
 
 
-def greedy_rate(clean: list[dict], adv: list[dict]) -> float:
-    """Mean error rate when clean blocks in order each take the best unused perturbed block; a block left alone counts 1."""
-    if not clean:
-        return 0.0
-    free, rates = dict(enumerate(adv)), []
-    for c in clean:
-        text = c["text"].strip().lower()
-        if not text:
-            continue
-        best, taken = 0.0, None
-        for j, b in free.items():
-            if (iou := overlap_of(c, b)) > best:
-                best, taken = iou, j
-        if taken is None:
-            rates.append(1.0)
-        else:
-            rates.append(edit_distance(text, free.pop(taken)["text"].strip().lower()) / len(text))
-    return sum(rates) / len(rates) if rates and adv else 1.0
+def greedy_picks(overlaps: np.ndarray) -> np.ndarray:
+    """For each row in order the free column of the largest positive overlap (the first of ties), which is then taken, else -1."""
+    free, picks = np.ones(overlaps.shape[1], bool), np.full(len(overlaps), -1)
+    for i, row in enumerate(overlaps):
+        left = np.where(free, row, 0.0)
+        if len(left) and left.max() > 0:
+            picks[i] = left.argmax()
+            free[picks[i]] = False
+    return picks
 
 
-def greedy_cer(clean: DataFrame, adv: DataFrame, pages: DataFrame) -> DataFrame:
-    """delta_cer per (page, config) by :func:`greedy_rate`: the order decides, so each page is one fold over its blocks."""
-    rows = pages.select("page_id", "config_id").join(_boxes(clean, ["page_id"], "elem_id", "clean"), "page_id", "left")
-    rows = rows.join(_boxes(adv, ["page_id", "config_id"], "adv_id", "adv"), ["page_id", "config_id"], "left")
+def greedy_matches(clean: DataFrame, adv: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page, config, elem_id, adv_id): worded clean blocks in order, each with the best perturbed block still free, or null.
+
+    The order decides, so a page's boxes are one fold over arrays of numbers;
+    texts stay out of it.
+    """
+    item = lambda order: F.array_sort(F.collect_list(F.struct(order, *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")))))
+    worded = clean.filter(strip(F.col("text")) != "").groupBy("page_id").agg(item("elem_id").alias("clean"))
+    rows = pages.select("page_id", "config_id").join(worded, "page_id").join(adv.groupBy("page_id", "config_id").agg(item("adv_id").alias("adv")), ["page_id", "config_id"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = [greedy_rate(c or [], a or []) for c, a in zip(batch.column("clean").to_pylist(), batch.column("adv").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("config_id"), pa.array(value, pa.float64())], names=["page_id", "config_id", "delta_cer"])
+            at, (elem, *a) = struct_columns(batch.column("clean"), ("elem_id", "x", "y", "w", "h"))
+            to, (other, *b) = struct_columns(batch.column("adv"), ("adv_id", "x", "y", "w", "h"))
+            a, b = np.stack(a, 1), np.stack(b, 1)
+            picks = [greedy_picks(iou_matrix(a[at[i] : at[i + 1]], b[to[i] : to[i + 1]])) for i in range(batch.num_rows)]
+            adv_id = [np.where(p >= 0, other[lo + np.maximum(p, 0)] if len(other) > lo else 0, 0) for p, lo in zip(picks, to, strict=False)]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at)))
+            taken = np.concatenate(picks) if picks else np.zeros(0, np.int64)
+            ids = pa.array(np.concatenate(adv_id) if adv_id else np.zeros(0, np.int64), pa.int64(), mask=taken < 0)
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(row), batch.column("config_id").take(row), pa.array(elem, pa.int64()), ids], names=["page_id", "config_id", "elem_id", "adv_id"])
+
+    return rows.select("page_id", "config_id", "clean", "adv").mapInArrow(run, "page_id long, config_id string, elem_id long, adv_id long")
+
 
-    return rows.mapInArrow(run, "page_id long, config_id string, delta_cer double")
+def greedy_cer(clean: DataFrame, adv: DataFrame, pages: DataFrame) -> DataFrame:
+    """delta_cer per (page, config): mean error rate over :func:`greedy_matches`, a block left alone counting 1.
+
+    0 for a page without blocks, 1 where nothing is worded or nothing was found.
+    """
+    picks = greedy_matches(clean, adv, pages).join(clean.select("page_id", "elem_id", "text"), ["page_id", "elem_id"])
+    picks = picks.join(adv.select("page_id", "config_id", "adv_id", F.col("text").alias("adv_text")), ["page_id", "config_id", "adv_id"], "left")
+    rate = F.when(F.col("adv_id").isNull(), F.lit(1.0)).otherwise(cer(F.col("text"), F.col("adv_text")))
+    rates = picks.groupBy("page_id", "config_id").agg(F.avg(rate).alias("rate"))
+    n_clean, n_adv = clean.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_clean")), adv.groupBy("page_id", "config_id").agg(F.count(F.lit(1)).alias("n_adv"))
+    rows = pages.select("page_id", "config_id").join(n_clean, "page_id", "left").join(n_adv, ["page_id", "config_id"], "left").join(rates, ["page_id", "config_id"], "left")
+    value = F.when(F.col("n_clean").isNull(), F.lit(0.0)).when(F.col("n_adv").isNull(), F.lit(1.0)).otherwise(F.coalesce("rate", F.lit(1.0)))
+    return rows.select("page_id", "config_id", value.alias("delta_cer"))
 
 
 def config_means(metrics: DataFrame, *columns: str) -> DataFrame:
     return metrics.groupBy("config_id").agg(*(F.avg(c).alias(f"mean_{c}") for c in columns), F.count(F.lit(1)).alias("n_pages"))
 
+
+
+def metric_rows(clean: DataFrame, adv: DataFrame, masks: DataFrame) -> DataFrame:
+    """The metric row of every (page, config): all losses of this module side by side, pages without clean blocks left out."""
+    keys = ["page_id", "config_id"]
+    match = with_similarity(best_match(clean, adv, masks))
+    parts = [mask_metrics(clean, masks), decomposed_loss(match, masks), text_ablation(match), splash(match, masks), greedy_cer(clean, adv, masks)]
+    by_overlap = block_loss(match, similar=None).select(*keys, F.col("b_slr").alias("eir_det"))
+    rows = masks.select(*keys).join(clean.select("page_id").distinct(), "page_id", "left_semi")
+    for part in (*parts, by_overlap):
+        rows = rows.join(part, keys, "left")
+    return rows.withColumn("b_slr_per_tor", F.try_divide("b_slr", "tor"))

@@ -11,7 +11,8 @@ from .registry import query
 
 
 def match_of(spark: SparkSession, sf: str, similar: bool = False) -> DataFrame:
-    m = matching.best_match(fx.clean_elements(spark, sf), fx.perturbed_elements(spark, sf), fx.page_configs(spark, sf))
+    """Matches by overlap; with ``similar`` also the matched texts and their similarity."""
+    m = matching.best_match(fx.clean_elements(spark, sf), fx.perturbed_elements(spark, sf), fx.page_configs(spark, sf), texts=similar)
     return matching.with_similarity(m) if similar else m
 
 
@@ -83,38 +84,62 @@ def _content(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("page_id", *(F.bround(F.expr(v)).cast("int").alias(k) for k, v in box.items()))
 
 
-def _runs_of_content(spark: SparkSession, sf: str) -> DataFrame:
-    return masks.union_runs(masks.box_runs(_content(spark, sf), ["page_id"]), ["page_id"])
+def _content_mask(spark: SparkSession, sf: str) -> DataFrame:
+    return masks.union(masks.clipped(_content(spark, sf), ["page_id"]), ["page_id"])
+
+
+def _probe_mask(spark: SparkSession, sf: str) -> DataFrame:
+    m = fx.page_configs(spark, sf)
+    return masks.clipped(m.select("page_id", "config_id", F.col("mx1").alias("x1"), F.col("my1").alias("y1"), F.col("mx2").alias("x2"), F.col("my2").alias("y2")), ["page_id", "config_id"])
 
 
 _CONTENT = """cbox AS (SELECT page_id, CAST(greatest(0, least(round_even(x - w / 2.0, 0), 1000)) AS INT) AS x0, CAST(greatest(0, least(round_even(x + w / 2.0, 0), 1000)) AS INT) AS x1,
   CAST(greatest(0, least(round_even(y - h / 2.0, 0), 1400)) AS INT) AS a, CAST(greatest(0, least(round_even(y + h / 2.0, 0), 1400)) AS INT) AS b FROM clean),
-line AS (SELECT page_id, x0, x1, unnest(range(a, b)) AS y FROM cbox WHERE x0 < x1 AND a < b),
-opened AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY page_id, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM line),
-isl AS (SELECT *, sum(o) OVER (PARTITION BY page_id, y ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS i FROM opened),
-crun AS (SELECT page_id, y, min(x0) AS x0, max(x1) AS x1 FROM isl GROUP BY page_id, y, i)"""
+cut AS (SELECT DISTINCT page_id, unnest([a, b]) AS y FROM cbox WHERE x0 < x1 AND a < b),
+strip AS (SELECT page_id, y AS y0, lead(y) OVER (PARTITION BY page_id ORDER BY y) AS y1 FROM cut),
+line AS (SELECT c.page_id, x0, x1, y0, y1 FROM cbox c JOIN strip s ON s.page_id = c.page_id AND y0 >= a AND y1 <= b WHERE x0 < x1),
+opened AS (SELECT *, CASE WHEN x0 <= max(x1) OVER (PARTITION BY page_id, y0 ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM line),
+isl AS (SELECT *, sum(o) OVER (PARTITION BY page_id, y0 ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS i FROM opened),
+crun AS (SELECT page_id, y0, max(y1) AS y1, min(x0) AS x0, max(x1) AS x1 FROM isl GROUP BY page_id, y0, i)"""
 
 
-@query("img01_content_area", f"WITH {fx.CTES}, {_CONTENT} SELECT page_id, CAST(sum(x1 - x0) AS BIGINT) AS pixels FROM crun GROUP BY page_id")
+@query("img01_content_area", f"WITH {fx.CTES}, {_CONTENT} SELECT page_id, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS pixels FROM crun GROUP BY page_id")
 def img01(spark: SparkSession, sf: str) -> DataFrame:
-    return masks.run_area(_runs_of_content(spark, sf), ["page_id"])
+    return masks.pixels(_content_mask(spark, sf), ["page_id"])
 
 
 @query("agg06_content_coverage", f"""WITH {fx.CTES}, {_CONTENT},
-lap AS (SELECT c.page_id, config_id, sum(greatest(0, least(x1, mx2) - greatest(x0, mx1))) AS inter FROM crun c JOIN mask m ON c.page_id = m.page_id AND y >= my1 AND y < my2 GROUP BY ALL),
-tot AS (SELECT page_id, sum(x1 - x0) AS px FROM crun GROUP BY page_id)
+lap AS (SELECT c.page_id, config_id, sum(greatest(0, least(x1, mx2) - greatest(x0, mx1)) * greatest(0, least(y1, my2) - greatest(y0, my1))) AS inter FROM crun c JOIN mask m ON c.page_id = m.page_id GROUP BY ALL),
+tot AS (SELECT page_id, sum((x1 - x0) * (y1 - y0)) AS px FROM crun GROUP BY page_id)
 SELECT page_id, p.config_id, round(coalesce(inter, 0)::DOUBLE / px, 6) AS acr FROM page p JOIN tot USING (page_id) LEFT JOIN lap USING (page_id, config_id)""")
 def agg06(spark: SparkSession, sf: str) -> DataFrame:
-    m = fx.page_configs(spark, sf)
     keys = ["page_id", "config_id"]
-    mask = masks.box_runs(m.select(*keys, F.col("mx1").alias("x1"), F.col("my1").alias("y1"), F.col("mx2").alias("x2"), F.col("my2").alias("y2")), keys)
-    content = _runs_of_content(spark, sf).join(m.select(*keys), "page_id")
-    return masks.coverage(mask, content, keys).select(*keys, F.round("ratio", 6).alias("acr"))
+    content = _content_mask(spark, sf).join(fx.page_configs(spark, sf).select(*keys), "page_id")
+    return masks.coverage(_probe_mask(spark, sf), content, keys).select(*keys, F.round("ratio", 6).alias("acr"))
+
+
+def _ring(x1: str, y1: str, x2: str, y2: str) -> str:
+    """Union area of clipped boxes in SQL, by cells between all neighbouring edges of a page."""
+    return f"SELECT page_id, greatest(0, least({x1}, 1000)) AS x0, greatest(0, least({x2}, 1000)) AS x1, greatest(0, least({y1}, 1400)) AS y0, greatest(0, least({y2}, 1400)) AS y1 FROM ib"
 
 
-@query("geo13_mask_box", f"WITH {fx.CTES}, {_CONTENT} SELECT page_id, CAST(min(x0) AS BIGINT) AS x1, CAST(min(y) AS BIGINT) AS y1, CAST(max(x1) AS BIGINT) AS x2, CAST(max(y) + 1 AS BIGINT) AS y2 FROM crun GROUP BY page_id")
+@query("agg07_boundary_overlap", f"""WITH {fx.CTES}, ib AS (SELECT page_id, CAST(round_even(x - w / 2.0, 0) AS INT) AS bx1, CAST(round_even(y - h / 2.0, 0) AS INT) AS by1, CAST(round_even(x + w / 2.0, 0) AS INT) AS bx2, CAST(round_even(y + h / 2.0, 0) AS INT) AS by2 FROM clean),
+rect AS (SELECT *, 1 AS keep FROM ({_ring('bx1 - 5', 'by1 - 5', 'bx2 + 5', 'by2 + 5')}) WHERE x0 < x1 AND y0 < y1 UNION ALL SELECT *, 0 FROM ({_ring('bx1 + 5', 'by1 + 5', 'bx2 - 5', 'by2 - 5')}) WHERE x0 < x1 AND y0 < y1),
+xs AS (SELECT page_id, x AS xa, lead(x) OVER (PARTITION BY page_id ORDER BY x) AS xb FROM (SELECT DISTINCT page_id, unnest([x0, x1]) AS x FROM rect)),
+ys AS (SELECT page_id, y AS ya, lead(y) OVER (PARTITION BY page_id ORDER BY y) AS yb FROM (SELECT DISTINCT page_id, unnest([y0, y1]) AS y FROM rect)),
+cell AS (SELECT r.page_id, xa, xb, ya, yb FROM rect r JOIN xs ON xs.page_id = r.page_id AND xa >= x0 AND xb <= x1 JOIN ys ON ys.page_id = r.page_id AND ya >= y0 AND yb <= y1 GROUP BY ALL HAVING min(keep) = 1),
+tot AS (SELECT page_id, sum((xb - xa) * (yb - ya)) AS px FROM cell GROUP BY page_id),
+lap AS (SELECT c.page_id, config_id, sum(greatest(0, least(xb, mx2) - greatest(xa, mx1)) * greatest(0, least(yb, my2) - greatest(ya, my1))) AS inter FROM cell c JOIN mask m ON m.page_id = c.page_id GROUP BY ALL)
+SELECT page_id, config_id, round(coalesce(inter, 0)::DOUBLE / px, 6) AS bpo FROM page JOIN tot USING (page_id) LEFT JOIN lap USING (page_id, config_id)""")
+def agg07(spark: SparkSession, sf: str) -> DataFrame:
+    keys = ["page_id", "config_id"]
+    band = masks.outline_bands(_content(spark, sf), ["page_id"]).join(fx.page_configs(spark, sf).select(*keys), "page_id")
+    return masks.coverage(_probe_mask(spark, sf), band, keys).select(*keys, F.round("ratio", 6).alias("bpo"))
+
+
+@query("geo13_mask_box", f"WITH {fx.CTES}, {_CONTENT} SELECT page_id, CAST(min(x0) AS BIGINT) AS x1, CAST(min(y0) AS BIGINT) AS y1, CAST(max(x1) AS BIGINT) AS x2, CAST(max(y1) AS BIGINT) AS y2 FROM crun GROUP BY page_id")
 def geo13(spark: SparkSession, sf: str) -> DataFrame:
-    return masks.mask_box(_runs_of_content(spark, sf), ["page_id"]).select("page_id", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return masks.mask_box(_content_mask(spark, sf), ["page_id"]).select("page_id", *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
 
 
 @query("agg09_layout_entropy", f"""WITH {fx.CTES}, per AS (SELECT page_id, type, sum(greatest(1.0::DOUBLE, (w * h)::DOUBLE)) AS a, count(*)::DOUBLE AS n FROM clean GROUP BY ALL),
@@ -159,3 +184,8 @@ def join15(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.clean_elements(spark, sf).join(fx.page_configs(spark, sf), "page_id")
     cover, box = matching.mask_cover(*(F.col(n) for n in ("x", "y", "w", "h")))
     return rows.groupBy("config_id").agg(F.count_if(cover >= 1).alias("touched"), F.count_if((box > 0) & (F.try_divide(cover.cast("double"), box.cast("double")) >= 0.3)).alias("occluded"))
+
+
+@query("prj05_metric_rows")
+def prj05(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.metric_rows(fx.clean_elements(spark, sf), fx.perturbed_elements(spark, sf), fx.page_configs(spark, sf))
