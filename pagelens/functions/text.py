@@ -92,16 +92,6 @@ def lcs_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance in code points, one row at a time."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return row[-1]
-
-
 @lru_cache(maxsize=100_000)
 def similarity(a: str, b: str) -> float:
     """Common subsequence over the longer length, stripped and case-folded; 0 if either is empty."""
@@ -125,14 +115,15 @@ def block_matches(a: str, b: str, most: int = 2000) -> int:
     return sum(m.size for m in difflib.SequenceMatcher(None, a[:most], b[:most], autojunk=False).get_matching_blocks())
 
 
-@pandas_udf(DoubleType())
-def character_loss(truth: pd.Series, found: pd.Series) -> pd.Series:
-    """1 minus matched characters over the (cut) truth; 0 for an empty truth, 1 for nothing found."""
+def character_loss_of(truth: str, found: str) -> float:
+    """1 minus matched characters over the (cut) truth, both stripped; 0 for a blank truth, 1 for nothing found."""
+    truth, found = truth.strip(), found.strip()
+    return 0.0 if not truth else 1.0 if not found else 1.0 - block_matches(truth, found) / len(truth[:2000])
 
-    def one(t: str, f: str) -> float:
-        return 0.0 if not t else 1.0 if not f else 1.0 - block_matches(t, f) / len(t[:2000])
 
-    return pd.Series([one(t or "", f or "") for t, f in zip(truth, found, strict=True)], dtype="float64")
+@pandas_udf(DoubleType())
+def character_loss(truth: pd.Series, found: pd.Series) -> pd.Series:
+    return pd.Series([character_loss_of(t or "", f or "") for t, f in zip(truth, found, strict=True)], dtype="float64")
 
 
 def bad_char_ratio(c: Column) -> Column:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import centre_box, gap
+from .matching import struct_columns
 
 STEP = "struct<probe_type:string,params:map<string,double>,target_strategy:string,target_location:array<int>,reason:string>"
 #: Corruption types and the setting at each severity.
@@ -87,22 +89,37 @@ def sample_sweeps(pages: DataFrame, sweeps: DataFrame, seed: str = "42") -> Data
     return rows.select("page_id", "config_id", "param", value.alias("value"))
 
 
-def random_policy(pages: DataFrame, seed: str = "42") -> DataFrame:
-    """(page_id, step_no, probe_type, target_strategy, params): one to three uniform steps a page, parameters from the probe's ranges."""
-    key = F.col("page_id").cast("string")
-    n = F.floor(hash_uniform(F.lit(seed), key, F.lit("n")) * 3).cast("int")
-    rows = pages.select("page_id", F.explode(F.sequence(F.lit(0), n)).alias("step_no"))
-    pick = lambda values, what: F.element_at(F.array(*map(F.lit, values)), F.floor(hash_uniform(F.lit(seed), key, F.lit(what), F.col("step_no").cast("string")) * len(values)).cast("int") + 1)
-    rows = rows.select("page_id", "step_no", pick(PROBES, "probe").alias("probe_type"), pick(TARGETS, "target").alias("target_strategy"))
+def draw(seed: str, name: str, lo: float, hi: float, *more: Column) -> Column:
+    """A number of the page in [lo, hi), or between whole numbers with both ends, by :func:`hash_uniform`."""
+    u = hash_uniform(F.lit(seed), F.col("page_id").cast("string"), F.lit(name), *more)
+    return F.floor(lo + u * (hi - lo + 1)).cast("double") if isinstance(lo, int) else lo + u * (hi - lo)
+
+
+def choice(seed: str, name: str, values: tuple[str, ...], *more: Column) -> Column:
+    u = hash_uniform(F.lit(seed), F.col("page_id").cast("string"), F.lit(name), *more)
+    return F.element_at(F.array(*map(F.lit, values)), F.floor(u * len(values)).cast("int") + 1)
+
 
-    def drawn(name: str, lo: float, hi: float) -> Column:
-        u = hash_uniform(F.lit(seed), key, F.lit(name), F.col("step_no").cast("string"))
-        return F.floor(lo + u * (hi - lo + 1)).cast("double") if isinstance(lo, int) else lo + u * (hi - lo)
+def step_of(probe: str | Column, params: dict[str, Column] | Column, strategy: str | Column, reason: str, x: Column | None = None, y: Column | None = None) -> Column:
+    """A plan step; without a place the target strategy finds one."""
+    as_column = lambda v: F.lit(v) if isinstance(v, str) else v
+    params = params if isinstance(params, Column) else F.create_map(*[c for n, v in params.items() for c in (F.lit(n), v)])
+    place = F.lit(None) if x is None else F.when(x.isNotNull() & y.isNotNull(), F.array(x.cast("int"), y.cast("int")))
+    fields = {"probe_type": as_column(probe), "params": params.cast("map<string,double>"), "target_strategy": as_column(strategy), "target_location": place.cast("array<int>"), "reason": F.lit(reason)}
+    return F.struct(*[c.alias(n) for n, c in fields.items()])
 
+
+def random_policy(pages: DataFrame, seed: str = "42") -> DataFrame:
+    """(page_id, steps): one to three uniform steps a page, parameters from the probe's ranges, places left to the strategy."""
+    n = F.floor(hash_uniform(F.lit(seed), F.col("page_id").cast("string"), F.lit("n")) * 3).cast("int")
+    rows = pages.select("page_id", F.explode(F.sequence(F.lit(0), n)).alias("step_no"))
+    no = F.col("step_no").cast("string")
+    rows = rows.withColumn("probe", choice(seed, "probe", PROBES, no)).withColumn("target", choice(seed, "target", TARGETS, no))
     params = F.create_map().cast("map<string,double>")
     for probe, ranges in RANGES.items():
-        params = F.when(F.col("probe_type") == probe, F.create_map(*[x for n, (lo, hi) in ranges.items() for x in (F.lit(n), drawn(n, lo, hi))])).otherwise(params)
-    return rows.withColumn("params", params)
+        params = F.when(F.col("probe") == probe, F.create_map(*[x for n, (lo, hi) in ranges.items() for x in (F.lit(n), draw(seed, n, lo, hi, no))])).otherwise(params)
+    steps = F.array_sort(F.collect_list(F.struct("step_no", step_of(F.col("probe"), params, F.col("target"), "random").alias("step"))), lambda a, b: a.step_no - b.step_no)
+    return rows.groupBy("page_id").agg(F.transform(steps, lambda s: s.step).alias("steps"))
 
 
 def vulnerable_gaps(elements: DataFrame, most: float = 80, n: int = 10) -> DataFrame:
@@ -143,14 +160,53 @@ def layout_context(elements: DataFrame, page_w: int) -> DataFrame:
     return elements.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.bool_or(F.lower("type") == "table").alias("has_table"), F.bool_or(F.lower("type") == "figure").alias("has_figure"), ((F.count(F.lit(1)) >= 4) & left & right).alias("multi_column"))
 
 
-def rule_policy(context: DataFrame, gaps: DataFrame) -> DataFrame:
-    """(page_id, steps): at most two probes by rule, else a random one's place is marked ``fallback``."""
-    first = gaps.filter("rank = 1").select("page_id", F.col("width").alias("gap"), "direction")
-    rows = context.join(first, "page_id", "left")
-    near = F.when(F.col("gap") < 15, "P5").when((F.col("gap") < 40) & (F.col("direction") == "vertical"), "P1").when(F.col("gap") < 40, "P2")
-    steps = F.array_compact(F.array(near, F.when(F.col("multi_column"), "P2"), F.when(F.col("has_table"), "P3")))
-    steps = F.slice(steps, 1, 2)
-    return rows.select("page_id", F.when(F.size(steps) > 0, steps).otherwise(F.array(F.lit("fallback"))).alias("steps"))
+def first_tables(elements: DataFrame) -> DataFrame:
+    """(page_id, table_x, table_y): middle of the right edge of a page's first table."""
+    t = elements.filter(F.lower("type") == "table")
+    right, y1, y2 = F.floor(F.col("x") + F.col("w") / 2.0), F.floor(F.col("y") - F.col("h") / 2.0), F.floor(F.col("y") + F.col("h") / 2.0)
+    return t.groupBy("page_id").agg(F.min_by(F.struct(right.alias("x"), F.floor((y1 + y2) / 2).alias("y")), "elem_id").alias("t")).select("page_id", F.col("t.x").alias("table_x"), F.col("t.y").alias("table_y"))
+
+
+def rule_policy(context: DataFrame, gaps: DataFrame, tables: DataFrame, seed: str = "42") -> DataFrame:
+    """(page_id, steps): at most two steps, by the narrowest gap, then columns, then a table; else one random step.
+
+    Gaps under 15 get a bridge, under 40 a crease along their direction; draws
+    hash (seed, page).
+    """
+    first = gaps.filter("rank = 1").select("page_id", F.col("width").alias("gap"), "direction", "cx", "cy")
+    rows = context.join(first, "page_id", "left").join(tables, "page_id", "left")
+    gap, at = F.col("gap"), (F.col("cx"), F.col("cy"))
+    # The reasons a plan carries.
+    bridge = step_of("P5", {"w": F.greatest(F.lit(1.0), gap * 0.4), "l_ratio": draw(seed, "bridge", 0.3, 0.6)}, "bridge", "Exploit narrow structural gap", *at)
+    crease = lambda p, reason: step_of(p, {"w": draw(seed, "crease", 2.0, 5.0), "l_ratio": F.lit(1.0)}, "anchor", reason, *at)
+    columns = step_of("P2", {"w": draw(seed, "columns", 2.0, 6.0), "l_ratio": F.lit(1.0)}, "anchor", "Multi-column bridge attack")
+    stamp = step_of("P3", {"r": draw(seed, "stamp_r", 40.0, 70.0), "alpha": draw(seed, "stamp_alpha", 0.4, 0.8)}, "anchor", "Stamp on table boundary", F.col("table_x"), F.col("table_y"))
+    other = step_of(choice(seed, "fallback", ("P1", "P5", "P6")), {"w": draw(seed, "fallback_w", 2.0, 5.0), "l_ratio": draw(seed, "fallback_l", 0.5, 1.0)}, "anchor", "Fallback")
+    near = F.when(gap < 15, bridge).when((gap < 40) & (F.col("direction") == "vertical"), crease("P1", "Crease through vertical gap")).when(gap < 40, crease("P2", "Crease through horizontal gap"))
+    steps = F.slice(F.array_compact(F.array(near, F.when(F.col("multi_column"), columns), F.when(F.col("table_x").isNotNull(), stamp))), 1, 2)
+    return rows.select("page_id", F.when(F.size(steps) > 0, steps).otherwise(F.array(other)).alias("steps"))
+
+
+def sampled_targets(rects: DataFrame, pages: DataFrame, keys: list[str], page_w: int, page_h: int, seed: str = "42") -> DataFrame:
+    """(keys..., x, y): a uniform pixel of each page's mask, given as disjoint rectangles; the page's middle for an empty mask.
+
+    Rectangles are laid end to end by their areas; a hashed number of the page
+    picks the pixel, so nothing is painted and a rerun draws the same.
+    """
+    size = (F.col("x1") - F.col("x0")).cast("long") * (F.col("y1") - F.col("y0"))
+    line = Window.partitionBy(*keys).orderBy("y0", "x0")
+    laid = rects.withColumn("_end", F.sum(size).over(line)).withColumn("_all", F.sum(size).over(Window.partitionBy(*keys)))
+    u = hash_uniform(F.lit(seed), *(F.col(k).cast("string") for k in keys), F.lit("place"))
+    laid = laid.withColumn("_at", F.floor(u * F.col("_all"))).withColumn("_in", F.col("_at") - (F.col("_end") - size))
+    width = F.col("x1") - F.col("x0")
+    hit = laid.filter((F.col("_in") >= 0) & (F.col("_at") < F.col("_end"))).select(*keys, (F.col("x0") + F.pmod("_in", width)).alias("x"), (F.col("y0") + F.floor(F.col("_in") / width)).alias("y"))
+    rows = pages.select(*keys).join(hit, keys, "left")
+    return rows.select(*keys, F.coalesce("x", F.lit(page_w // 2)).alias("x"), F.coalesce("y", F.lit(page_h // 2)).alias("y"))
+
+
+def random_targets(pages: DataFrame, keys: list[str], page_w: int, page_h: int, seed: str = "42") -> DataFrame:
+    u = lambda axis: hash_uniform(F.lit(seed), *(F.col(k).cast("string") for k in keys), F.lit(axis))
+    return pages.select(*keys, F.floor(u("x") * page_w).alias("x"), F.floor(u("y") * page_h).alias("y"))
 
 
 def area_matched_ratio(tor: Column, h: Column, w: Column) -> Column:
@@ -158,28 +214,31 @@ def area_matched_ratio(tor: Column, h: Column, w: Column) -> Column:
     return F.greatest(F.lit(0.0002), F.least(F.lit(0.05), tor * h * w / (side * side)))
 
 
-def cover_steps(blocks: list[dict], share: float, radius: float, most: int) -> list[dict]:
-    """Centres picked one by one for the most blocks still free; the first block wins ties."""
-    def reach(c: dict, e: dict) -> bool:
-        dx = max(0, abs(c["x"] - e["x"]) - e["w"] // 2)
-        dy = max(0, abs(c["y"] - e["y"]) - e["h"] // 2)
-        return dx * dx + dy * dy < radius * radius
-
-    covers = [{j for j, e in enumerate(blocks) if reach(c, e)} for c in blocks]
-    wanted = max(1, round(len(blocks) * share)) if share > 0 and blocks else 0
-    done: set[int] = set()
-    steps: list[dict] = []
-    while len(done) < wanted and len(steps) < most:
-        gains = [len(c - done) for c in covers]
-        best = gains.index(max(gains))
+def reach_matrix(boxes: np.ndarray, radius: float, page_w: int, page_h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probe centres, one a box (x, y, w, h), kept ``radius`` from the page's border; and which boxes each reaches (half sizes rounded down)."""
+    room = np.asarray([page_w - radius, page_h - radius])
+    centres = np.maximum(radius, np.minimum(boxes[:, :2], room))
+    away = np.maximum(np.abs(centres[:, None] - boxes[:, :2]) - boxes[:, 2:] // 2, 0)
+    return centres, (away.astype(float) ** 2).sum(2) < radius * radius
+
+
+def cover_steps(boxes: np.ndarray, share: float, radius: int, most: int, page_w: int, page_h: int) -> list[tuple[int, int, int]]:
+    """(cx, cy, gained): centres picked one by one for the most boxes still free, the first of ties, until the share is reached."""
+    if not len(boxes) or share <= 0:
+        return []
+    centres, reach = reach_matrix(boxes, radius, page_w, page_h)
+    free, steps = np.ones(len(boxes), bool), []
+    while len(steps) < most and (~free).sum() < max(1, round(len(boxes) * share)):
+        gains = (reach & free).sum(1)
+        best = int(gains.argmax())
         if not gains[best]:
             break
-        done |= covers[best]
-        steps.append({"cx": blocks[best]["x"], "cy": blocks[best]["y"], "gained": gains[best]})
+        free &= ~reach[best]
+        steps.append((int(centres[best, 0]), int(centres[best, 1]), int(gains[best])))
     return steps
 
 
-def greedy_cover(elements: DataFrame, share: float, radius: float, most: int = 30) -> DataFrame:
+def greedy_cover(elements: DataFrame, share: float, radius: int, page_w: int, page_h: int, most: int = 30) -> DataFrame:
     """(page_id, probe_no, cx, cy, gained): probes until the wanted share of a page's blocks (at least one) is reached.
 
     Stops at no gain or at ``most`` probes, a limit of the feature; a share of
@@ -190,7 +249,9 @@ def greedy_cover(elements: DataFrame, share: float, radius: float, most: int = 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            steps = [cover_steps(b, share, radius, most) for b in batch.column("b").to_pylist()]
+            at, columns = struct_columns(batch.column("b"), ("x", "y", "w", "h"))
+            boxes = np.stack(columns, 1)
+            steps = [[dict(zip(("cx", "cy", "gained"), s, strict=True)) for s in cover_steps(boxes[lo:hi], share, radius, most, page_w, page_h)] for lo, hi in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(steps, step)], names=["page_id", "s"])
 
     rows = pages.mapInArrow(run, "page_id long, s array<struct<cx:long,cy:long,gained:int>>")

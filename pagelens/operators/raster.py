@@ -144,6 +144,7 @@ def composite(image: np.ndarray, mask: np.ndarray, colour: np.ndarray | tuple[in
 
 #: Shape, look and action of each probe.
 PROBES = {"P1": ("line", 0, "inject"), "P2": ("line", 90, "inject"), "P3": ("ring", 0, "blend"), "P4": ("rect", 0, "erase"), "P5": ("line", 0, "inject"), "P6": ("line", 0, "blend"), "P7": ("points", 0, "inject"), "P8": ("points", 0, "inject"), "P9": ("blob", 0, "blend"), "P10": ("line", 45, "inject")}
+#: Colour of the probes that have one.
 COLOURS = {"P3": (220, 50, 50), "P9": (139, 90, 43), "P10": (80, 80, 80)}
 
 
@@ -184,15 +185,57 @@ def box_blur(image: np.ndarray, k: int) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+#: Quantisation of luma and chroma blocks at quality 50, row by row.
+LUMA = (
+    16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99,
+)
+CHROMA = (
+    17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
+    99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
+)
+
+
+def _coarse(plane: np.ndarray, table: tuple[int, ...], quality: int) -> np.ndarray:
+    """A plane after its 8 x 8 cosine coefficients were rounded to the table's steps at the quality."""
+    scale = 5000 / quality if quality < 50 else 200 - 2 * quality
+    step = np.clip(np.floor((np.asarray(table, float).reshape(8, 8) * scale + 50) / 100), 1, 255)
+    k = np.arange(8)
+    basis = np.cos(np.pi * k[:, None] * (2 * k + 1) / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)[:, None]
+    h, w = plane.shape
+    padded = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
+    blocks = padded.reshape(padded.shape[0] // 8, 8, -1, 8).swapaxes(1, 2)
+    kept = np.rint(basis @ blocks @ basis.T / step) * step
+    return (basis.T @ kept @ basis).swapaxes(1, 2).reshape(padded.shape)[:h, :w] + 128
+
+
+def jpeg_loss(image: np.ndarray, quality: int) -> np.ndarray:
+    """What baseline JPEG at ``quality`` makes of an RGB image: chroma halved, blocks quantised; its entropy coding loses nothing."""
+    quality = int(np.clip(quality, 1, 100))
+    to = np.asarray([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
+    y, cb, cr = np.moveaxis(image[..., :3].astype(float) @ to.T + (0, 128, 128), -1, 0)
+    h, w = y.shape
+
+    def halved(c: np.ndarray) -> np.ndarray:
+        p = np.pad(c, ((0, h % 2), (0, w % 2)), mode="edge")
+        small = _coarse(p.reshape(p.shape[0] // 2, 2, -1, 2).mean((1, 3)), CHROMA, quality)
+        return small.repeat(2, 0).repeat(2, 1)[:h, :w]
+
+    made = np.stack([_coarse(y, LUMA, quality), halved(cb) - 128, halved(cr) - 128], -1) @ np.linalg.inv(to).T
+    return np.clip(np.rint(made), 0, 255).astype(np.uint8)
+
+
 def corrupt(image: np.ndarray, kind: str, setting: float, rng: np.random.Generator) -> np.ndarray:
-    """Noise, blur or brightness; a kind without a codec here leaves the image as it is."""
+    """Noise, blur, JPEG loss or brightness; an unknown kind is an error."""
+    if kind == "jpeg_compression":
+        return jpeg_loss(image, int(setting))
     if kind == "gaussian_noise":
         return np.clip(image.astype(np.float32) + rng.normal(0, setting, image.shape), 0, 255).astype(np.uint8)
     if kind == "gaussian_blur":
         return box_blur(image, int(setting))
     if kind == "brightness_shift":
         return np.clip(image.astype(np.int16) + (int(setting) if rng.random() >= 0.5 else -int(setting)), 0, 255).astype(np.uint8)
-    return image
+    raise ValueError(f"unknown corruption {kind}")
 
 
 def difference_mask(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -29,13 +29,13 @@ def quotas(n: int, shares: dict[str, float]) -> dict[str, int]:
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, shares: dict[str, float], seed: str) -> DataFrame:
     """Quota rows of each stratum by hash order; what short strata leave open is filled from all other rows.
 
-    Ranks are taken within (stratum) after a cut to the quota's size per
-    stratum; the refill is one global top-n.
+    No row beyond a stratum's first ``n`` can be drawn, so each input partition
+    passes on that many at most; the refill is one global top-n.
     """
     quota = quotas(n, shares)
     limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in quota.items() for x in kv]), F.col(stratum)), F.lit(0))
     w = Window.partitionBy(stratum).orderBy("_h", key)
-    ranked = df.withColumn("_h", hash_order(seed, key)).withColumn("_r", F.row_number().over(w)).withColumn("_in", (F.col("_r") <= limit).cast("int"))
+    ranked = df.withColumn("_h", hash_order(seed, key)).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).withColumn("_in", (F.col("_r") <= limit).cast("int"))
     return ranked.orderBy(F.desc("_in"), "_h", key).limit(n).drop("_h", "_r", "_in")
 
 
@@ -46,7 +46,7 @@ def level_sample(df: DataFrame, key: str, level: str, n: int, shares: dict[str,
     counts[names[-1]] = n - sum(counts.values())
     limit = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col(level)), F.lit(0))
     w = Window.partitionBy(level).orderBy(hash_order(seed, key), key)
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= limit).drop("_r")
+    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(counts.values())).filter(F.col("_r") <= limit).drop("_r")
 
 
 def complexity(n: Column, entropy: Column) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANK_BUCKETS = 64
+
 
 def finite(c: str) -> Column:
     """The number, or null for NaN and null."""
@@ -23,10 +28,26 @@ def pearson(df: DataFrame, x: str, y: str, by: list[str], least: int = 2) -> Dat
 
 
 def average_rank(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """1-based ranks with ties at their mean."""
-    order = Window.partitionBy(*by).orderBy(value)
-    ties = Window.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+    """1-based ranks with ties at their mean.
+
+    Values are counted first, then summed up within buckets between quantiles
+    and over the buckets before, so no task orders a whole group.
+    """
+    bounds = df.agg(F.percentile_approx(value, [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)], 10_000).alias("_bounds"))
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(bounds))  # one row
+    counts = counts.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b <= F.col(value)))).drop("_bounds")
+    below = F.sum("_n").over(Window.partitionBy(*by, "_bucket").orderBy(value)) - F.col("_n")
+    before = counts.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_m"))
+    before = before.select(*by, "_bucket", (F.sum("_m").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_m")).alias("_before"))
+
+    def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        """The join on keys that may be null, with the left side's key columns."""
+        right = right.withColumnsRenamed({k: f"_r{i}" for i, k in enumerate(keys)})
+        return left.join(right, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)])).drop(*(f"_r{i}" for i in range(len(keys))))
+
+    counts = joined(counts.withColumn("_below", below), before, [*by, "_bucket"])
+    ranked = counts.select(*by, value, (F.col("_before") + F.col("_below") + (F.col("_n") + 1) / 2.0).alias(name))
+    return joined(df, ranked, [*by, value])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str], least: int = 2) -> DataFrame:
@@ -56,9 +77,8 @@ def summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def upper_median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """The upper of the middle values (an element of the group)."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_i", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return rows.filter(F.col("_i") == F.floor(F.col("_n") / 2) + 1).select(*by, F.col(value).alias("upper_median"))
+    middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)")  # over counts of values, combined before the shuffle
+    return df.groupBy(*by).agg(middle.cast(df.schema[value].dataType).alias("upper_median"))
 
 
 def dense_grid(df: DataFrame, values: dict[str, list[str]]) -> DataFrame:

@@ -86,9 +86,10 @@ def split_failures(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
 ALIASES = {
     "page_id": ("page_id", "image_id", "imageId", "image-id"), "pipeline": ("pipeline", "Pipeline"), "condition": ("condition", "Condition"),
     "config_id": ("config_id", "configId", "config-id"), "probe_type": ("probe_type", "probeType", "probe-type"), "target_strategy": ("target_strategy", "targetStrategy", "target-strategy"),
-    "TOR": ("TOR", "tor"), "CER_matched_mean": ("CER_matched_mean", "cer_matched_mean", "CER-matched-mean"), "delta_CER": ("delta_CER", "deltaCER", "delta-CER", "\u0394_CER"),
+    "TOR": ("TOR", "tor"), "CER_matched_mean": ("CER_matched_mean", "cer_matched_mean", "CER-matched-mean"), "delta_CER": ("delta_CER", "deltaCER", "delta-CER", "Δ_CER"),
     "B_SLR": ("B_SLR", "B-SLR", "b_slr", "BSLR", "B_slr"), "SLR_miss": ("SLR_miss", "slr_miss", "SLR-miss"), "SLR_topo": ("SLR_topo", "slr_topo", "SLR-topo"), "B_SLR_per_TOR": (),
 }
+#: Words in the names of metric files, and the condition of a config.
 KEYWORDS, CONDITION_OF_CONFIG = ("phase", "anchor", "policy", "ppstructure", "global", "parser_metric"), {"A03": "structural_probe", "A08": "large_area_erasure"}
 
 
