@@ -69,6 +69,11 @@ def call_or_cache(requests: DataFrame, cache: DataFrame, key: str, call: Callabl
     return requests.join(known, key, "left"), fresh
 
 
+def answer_route(parser_status: Column, page_text: Column, done: Column, most: int = 8000) -> Column:
+    """What becomes of a page's questions: answered without a call on empty or overlong pages, skipped where done, else asked."""
+    return F.when(parser_status != "success", "parser_empty").when(F.coalesce(done, F.lit(False)), "skip").when(F.length(page_text) > most, "context_too_long").otherwise("api")
+
+
 def redacted(log: DataFrame) -> DataFrame:
     """An event log without secrets, stamped."""
     rows = log.drop(*SECRETS)

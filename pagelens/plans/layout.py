@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions.text import normalize_answer
-from ..operators import audits, parse_records, planning, raster
+from ..operators import audits, external, pages, parse_records, planning, raster
 from ..sources import files
 from ..sources import fixtures as fx
 from .damage import match_of
@@ -20,9 +19,11 @@ _scratch: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster shares; a temporary one only where none is set."""
+    """A fresh path in the folder the cluster shares; a temporary one only where none is set and the master is local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not _scratch:
             _scratch.append(tempfile.mkdtemp(prefix="pagelens-"))
         base = _scratch[0]
@@ -95,19 +96,110 @@ def agg10(spark: SparkSession, sf: str) -> DataFrame:
     return planning.layout_context(fx.clean_elements(spark, sf), fx.PAGE_W)
 
 
-@query("plan13_rule_policy")
+def _u(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+def _draw(name: str, lo: float, hi: float, *more: str) -> str:
+    u = _u("'42'", "CAST(page_id AS VARCHAR)", f"'{name}'", *more)
+    return f"floor({lo} + {u} * {hi - lo + 1})::DOUBLE" if isinstance(lo, int) else f"({lo}::DOUBLE + {u} * {hi - lo}::DOUBLE)"
+
+
+def _choice(name: str, values: tuple[str, ...], *more: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"[{listed}][CAST(floor({_u(chr(39) + '42' + chr(39), 'CAST(page_id AS VARCHAR)', chr(39) + name + chr(39), *more)} * {len(values)}) AS INT) + 1]"
+
+
+#: Parameters any probe has; a step's row shows those it uses, the others null.
+PARAMS = sorted({n for r in planning.RANGES.values() for n in r})
+
+
+def plan_rows(plans: DataFrame) -> DataFrame:
+    """One row a step, its parameters as columns; -1 for a place left to the strategy."""
+    rows = plans.select("page_id", F.posexplode("steps").alias("step_no", "s"))
+    return rows.select("page_id", "step_no", F.col("s.probe_type").alias("probe_type"), F.col("s.target_strategy").alias("target"), *(F.coalesce(F.try_element_at("s.target_location", F.lit(i)), F.lit(-1)).alias(n) for i, n in ((1, "at_x"), (2, "at_y"))), F.col("s.reason").alias("reason"), *(F.round(F.try_element_at("s.params", F.lit(n)), 6).alias(f"p_{n}") for n in PARAMS))
+
+
+def _params(given: dict[str, str]) -> str:
+    return ", ".join(f"{f'round({given[n]}, 6)' if n in given else 'NULL'}::DOUBLE AS p_{n}" for n in PARAMS)
+
+
+def _rule(no: str, when: str, probe: str, target: str, at: tuple[str, str], reason: str, **given: str) -> str:
+    return f"SELECT page_id, {no} AS k, {probe} AS probe_type, '{target}' AS target, {at[0]} AS at_x, {at[1]} AS at_y, '{reason}' AS reason, {_params(given)} FROM c WHERE {when}"
+
+
+_NOWHERE, _GAP_AT = ("-1", "-1"), ("CAST(cx AS INT)", "CAST(cy AS INT)")
+_GAPS = """gb AS (SELECT page_id, elem_id, x - w / 2.0 AS x1, y - h / 2.0 AS y1, x + w / 2.0 AS x2, y + h / 2.0 AS y2 FROM clean),
+gp AS (SELECT a.page_id, a.elem_id AS i, b.elem_id AS j, greatest(a.y1, b.y1) - least(a.y2, b.y2) AS v, greatest(a.x1, b.x1) - least(a.x2, b.x2) AS g, least(a.x2, b.x2) - greatest(a.x1, b.x1) AS side, least(a.y2, b.y2) - greatest(a.y1, b.y1) AS tall,
+  floor((greatest(a.x1, b.x1) + least(a.x2, b.x2)) / 2) AS mx, floor((greatest(a.y1, b.y1) + least(a.y2, b.y2)) / 2) AS my FROM gb a JOIN gb b ON a.page_id = b.page_id AND a.elem_id < b.elem_id),
+gq AS (SELECT page_id, i, j, mx AS cx, my AS cy, CASE WHEN v > 0 AND side > 0 THEN v WHEN g > 0 AND tall > 0 THEN g END::DOUBLE AS width, CASE WHEN v > 0 AND side > 0 THEN 'vertical' WHEN g > 0 AND tall > 0 THEN 'horizontal' END AS direction FROM gp),
+gaps AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY width, i, j) AS rank FROM gq WHERE width > 0 AND width < 80)"""
+_CONTEXT = "ctx AS (SELECT page_id, count(*) AS n_blocks, bool_or(type = 'table') AS has_table, bool_or(type = 'figure') AS has_figure, count(*) >= 4 AND count(*) FILTER (x < 450) >= 2 AND count(*) FILTER (x > 550) >= 2 AS multi_column FROM clean GROUP BY page_id)"
+
+
+@query("plan13_rule_policy", f"""WITH {fx.CTES}, {_GAPS}, {_CONTEXT},
+tb AS (SELECT page_id, CAST(floor(x + w / 2.0) AS INT) AS tx, CAST(floor((floor(y - h / 2.0) + floor(y + h / 2.0)) / 2) AS INT) AS ty FROM clean WHERE type = 'table' QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY elem_id) = 1),
+c AS (SELECT ctx.page_id, multi_column, width AS gap, direction, cx, cy, tx, ty FROM ctx LEFT JOIN gaps g ON g.page_id = ctx.page_id AND rank = 1 LEFT JOIN tb ON tb.page_id = ctx.page_id),
+s AS ({_rule('1', 'gap < 15', "'P5'", 'bridge', _GAP_AT, 'Exploit narrow structural gap', w='greatest(1.0, gap * 0.4)', l_ratio=_draw('bridge', 0.3, 0.6))}
+ UNION ALL {_rule('1', "gap >= 15 AND gap < 40 AND direction = 'vertical'", "'P1'", 'anchor', _GAP_AT, 'Crease through vertical gap', w=_draw('crease', 2.0, 5.0), l_ratio='1.0')}
+ UNION ALL {_rule('1', "gap >= 15 AND gap < 40 AND direction <> 'vertical'", "'P2'", 'anchor', _GAP_AT, 'Crease through horizontal gap', w=_draw('crease', 2.0, 5.0), l_ratio='1.0')}
+ UNION ALL {_rule('2', 'multi_column', "'P2'", 'anchor', _NOWHERE, 'Multi-column bridge attack', w=_draw('columns', 2.0, 6.0), l_ratio='1.0')}
+ UNION ALL {_rule('3', 'tx IS NOT NULL', "'P3'", 'anchor', ('tx', 'ty'), 'Stamp on table boundary', r=_draw('stamp_r', 40.0, 70.0), alpha=_draw('stamp_alpha', 0.4, 0.8))}
+ UNION ALL {_rule('4', 'NOT multi_column AND tx IS NULL AND coalesce(gap, 99) >= 40', _choice('fallback', ('P1', 'P5', 'P6')), 'anchor', _NOWHERE, 'Fallback', w=_draw('fallback_w', 2.0, 5.0), l_ratio=_draw('fallback_l', 0.5, 1.0))}),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS INT) AS step_no FROM s)
+SELECT * EXCLUDE (k) FROM n WHERE step_no < 2""")
 def plan13(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.clean_elements(spark, sf)
-    return planning.rule_policy(planning.layout_context(e, fx.PAGE_W), planning.vulnerable_gaps(e))
+    return plan_rows(planning.rule_policy(planning.layout_context(e, fx.PAGE_W), planning.vulnerable_gaps(e), planning.first_tables(e)))
+
 
+_NO = "CAST(step_no AS VARCHAR)"
 
-@query("plan12_random_policy")
+
+def _of_probe(name: str) -> str:
+    """CASE over the probes that have the parameter, each with its own range."""
+    whens = " ".join(f"WHEN '{p}' THEN {_draw(name, *r[name], _NO)}" for p, r in planning.RANGES.items() if name in r)
+    return f"CASE probe_type {whens} END"
+
+
+@query("plan12_random_policy", f"""WITH p AS (SELECT DISTINCT l_orderkey AS page_id FROM lineitem), n AS (SELECT page_id, unnest(range(0, CAST(floor({_u("'42'", 'CAST(page_id AS VARCHAR)', "'n'")} * 3) AS BIGINT) + 1)) AS step_no FROM p),
+s AS (SELECT page_id, CAST(step_no AS INT) AS step_no, {_choice('probe', planning.PROBES, _NO)} AS probe_type, {_choice('target', planning.TARGETS, _NO)} AS target FROM n)
+SELECT *, -1 AS at_x, -1 AS at_y, 'random' AS reason, {_params({n: _of_probe(n) for n in PARAMS})} FROM s""")
 def plan12(spark: SparkSession, sf: str) -> DataFrame:
-    return planning.random_policy(fx.clean_elements(spark, sf).select("page_id").distinct())
+    return plan_rows(planning.random_policy(fx.clean_elements(spark, sf).select("page_id").distinct()))
 
 
-def _u(*parts: str) -> str:
-    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+@query("txt28_descriptions", f"""WITH {fx.CTES}, {_GAPS}, {_CONTEXT}, l AS (SELECT page_id, string_agg(format('  Block {{}}: {{}} [{{}}, {{}}, {{}}, {{}}]', elem_id, type, CAST(round_even(x - w / 2.0, 0) AS INT), CAST(round_even(y - h / 2.0, 0) AS INT), CAST(round_even(x + w / 2.0, 0) AS INT), CAST(round_even(y + h / 2.0, 0) AS INT)), chr(10) ORDER BY elem_id) AS b FROM clean GROUP BY 1),
+yn AS (SELECT page_id, n_blocks, CASE WHEN multi_column THEN 'yes' ELSE 'no' END AS mc, CASE WHEN has_table THEN 'yes' ELSE 'no' END AS ht, CASE WHEN has_figure THEN 'yes' ELSE 'no' END AS hf FROM ctx),
+gl AS (SELECT g.page_id, string_agg(format('{{}}. {{}}-{{}} at {{}},{{}} {{}}', rank, a.type, b.type, CAST(cx AS BIGINT), CAST(cy AS BIGINT), direction), chr(10) ORDER BY rank) AS t FROM gaps g JOIN clean a ON a.page_id = g.page_id AND a.elem_id = g.i JOIN clean b ON b.page_id = g.page_id AND b.elem_id = g.j WHERE rank <= 5 GROUP BY 1)
+SELECT yn.page_id, md5(format('Image Size: 1000 x 1400 pixels' || chr(10) || 'Layout Blocks ({{}} total):' || chr(10) || '{{}}' || chr(10) || 'Multi-column layout: {{}}' || chr(10) || 'Has table: {{}}' || chr(10) || 'Has figure: {{}}', n_blocks, b, mc, ht, hf)) AS neutral, md5(coalesce(t, '')) AS gaps FROM yn JOIN l USING (page_id) LEFT JOIN gl USING (page_id)""")
+def txt28(spark: SparkSession, sf: str) -> DataFrame:
+    """Neutral descriptions whole; the gap lines without their widths, whose printed rounding differs between engines."""
+    e = fx.clean_elements(spark, sf)
+    context = planning.layout_context(e, fx.PAGE_W)
+    told = pages.neutral_description(e, context, fx.PAGE_W, fx.PAGE_H).select("page_id", F.md5("description").alias("neutral"))
+    gaps = pages.gap_description(planning.vulnerable_gaps(e), e)
+    bare = F.regexp_replace(F.regexp_replace("description", "(?m)^  (\\d+)\\. Between (\\S+) and (\\S+): gap=\\d+px at \\((-?\\d+), (-?\\d+)\\), (\\w+)_gap$", "$1. $2-$3 at $4,$5 $6"), "\r", "")
+    return told.join(gaps.select("page_id", bare.alias("g")), "page_id", "left").select("page_id", "neutral", F.md5(F.coalesce("g", F.lit(""))).alias("gaps"))
+
+
+@query("img11_targets", f"""WITH {fx.CTES}, p AS (SELECT DISTINCT page_id FROM clean) SELECT page_id, CAST(floor({_u("'42'", 'CAST(page_id AS VARCHAR)', "'x'")} * 1000) AS BIGINT) AS rx, CAST(floor({_u("'42'", 'CAST(page_id AS VARCHAR)', "'y'")} * 1400) AS BIGINT) AS ry, true AS in_content, true AS in_band FROM p""")
+def img11(spark: SparkSession, sf: str) -> DataFrame:
+    """Random targets as they are; content and anchor targets by whether each lies in its mask."""
+    from ..operators import masks
+    from .damage import _content, _content_mask
+
+    keys = ["page_id"]
+    pages_ = fx.clean_elements(spark, sf).select("page_id").distinct()
+    content, band = _content_mask(spark, sf), masks.outline_bands(_content(spark, sf), keys)
+
+    def inside(mask: DataFrame, name: str) -> DataFrame:
+        at = planning.sampled_targets(mask, pages_, keys, fx.PAGE_W, fx.PAGE_H)
+        hit = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+        return at.join(mask, keys).groupBy(*keys).agg((F.count_if(hit) == 1).alias(name))
+
+    rows = planning.random_targets(pages_, keys, fx.PAGE_W, fx.PAGE_H).select("page_id", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    return rows.join(inside(content, "in_content"), keys).join(inside(band, "in_band"), keys)
 
 
 @query("plan09_sweeps", f"""WITH s(config_id, g, param, lo, hi, is_int) AS (VALUES {', '.join(f"('{c}', '{g}', '{n}', {float(lo)}::DOUBLE, {float(hi)}::DOUBLE, {'true' if isinstance(lo, int) else 'false'})" for c, g, _, _, r in planning.SWEEPS for n, (lo, hi) in r.items())}),
@@ -130,7 +222,7 @@ def plan01(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("plan06_greedy_cover")
 def plan06(spark: SparkSession, sf: str) -> DataFrame:
-    return planning.greedy_cover(fx.clean_elements(spark, sf), 0.6, 70)
+    return planning.greedy_cover(fx.clean_elements(spark, sf), 0.6, 70, fx.PAGE_W, fx.PAGE_H)
 
 
 @query("plan11_sensitivity", f"""WITH {fx.CTES}, t(v) AS (VALUES (0.05::DOUBLE), (0.1), (0.2), (0.3)) SELECT 'iou' AS analysis, v AS param_value, config_id, page_id, round(avg(CASE WHEN iou < v THEN 1.0::DOUBLE ELSE 0 END), 6) AS b_slr FROM best, t GROUP BY ALL""")
@@ -219,9 +311,12 @@ def nest06(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "events").select("event_id", (F.size(steps) > 0).alias("has_plan"), F.try_element_at(steps, F.lit(1)).probe_type.alias("probe"))
 
 
-@query("nest03_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("nest03_json", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) ELSE -1 END AS k FROM events")
 def nest03(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.table(spark, sf, "events").select("event_id", F.from_json("props", "k long").k.alias("k"))
+    """Answers bare, fenced, fenced with a language, and broken."""
+    by = F.col("event_id") % 4
+    said = F.when(by == 0, F.col("props")).when(by == 1, F.concat(F.lit("```\n"), "props", F.lit("\n```"))).when(by == 2, F.concat(F.lit(" ```JSON\n"), "props", F.lit("```  "))).otherwise(F.concat(F.lit("so: "), "props"))
+    return fx.table(spark, sf, "events").select("event_id", F.coalesce(F.from_json(parse_records.strip_fences(said), "k long").k, F.lit(-1)).alias("k"))
 
 
 _EV = "event_id long, user_id long, event_type string, value double"
@@ -311,8 +406,8 @@ def st01(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ext08_cache_keys", "SELECT doc_id, sha256('{\"model\":\"m\",\"temperature\":0.0,\"prompt\":\"v2\",\"input\":\"' || md5(text) || '\",\"task\":\"qa\"}') AS cache_key FROM documents")
 def ext08(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.struct(F.lit("m").alias("model"), F.lit(0.0).alias("temperature"), F.lit("v2").alias("prompt"), F.md5("text").alias("input"), F.lit("qa").alias("task"))
-    return fx.table(spark, sf, "documents").select("doc_id", F.sha2(F.to_json(key), 256).alias("cache_key"))
+    key = external.cache_key(model=F.lit("m"), temperature=F.lit(0.0), prompt=F.lit("v2"), input=F.md5("text"), task=F.lit("qa"))
+    return fx.table(spark, sf, "documents").select("doc_id", key.alias("cache_key"))
 
 
 def audited_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -380,20 +475,17 @@ def img12(spark: SparkSession, sf: str) -> DataFrame:
     return raster.run_plans(pages, (fx.PAGE_H // 10, fx.PAGE_W // 10))
 
 
-@query("plan22_routes", "SELECT CASE WHEN doc_id % 11 = 0 THEN 'empty' WHEN doc_id % 7 = 0 THEN 'skip' WHEN length(text) > 8000 THEN 'too_long' ELSE 'api' END AS route, count(*) AS n FROM documents GROUP BY 1")
+@query("plan22_routes", "SELECT CASE WHEN doc_id % 11 = 0 THEN 'parser_empty' WHEN doc_id % 7 = 0 THEN 'skip' WHEN length(text) > 8000 THEN 'context_too_long' ELSE 'api' END AS route, count(*) AS n FROM documents GROUP BY 1")
 def plan22(spark: SparkSession, sf: str) -> DataFrame:
-    d = fx.table(spark, sf, "documents")
-    route = F.when(F.col("doc_id") % 11 == 0, "empty").when(F.col("doc_id") % 7 == 0, "skip").when(F.length("text") > 8000, "too_long").otherwise("api")
-    return d.groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
+    status = F.when(F.col("doc_id") % 11 == 0, "empty").otherwise("success")
+    route = external.answer_route(status, F.col("text"), F.col("doc_id") % 7 == 0)
+    return fx.table(spark, sf, "documents").groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("txt19_21_sources")
 def txt21(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions.text import bad_char_ratio, split_lines, tokens
+    from ..operators import qa
 
     d = fx.table(spark, sf, "documents").select("doc_id", F.col("text").alias("m"), F.regexp_replace("text", "e", "e ").alias("p"))
-    lines = F.filter(split_lines(F.col("m")), lambda line: (F.size(tokens(normalize_answer(line))) <= 35) & F.contains(F.col("np"), normalize_answer(line)))
-    d = d.withColumn("np", normalize_answer(F.col("p"))).withColumn("shared", F.array_join(F.slice(lines, 1, 60), "\n"))
-    first = (F.length("p") <= F.length("m") * 1.1) & (bad_char_ratio(F.col("m")) <= bad_char_ratio(F.col("p")) + 0.01)
-    chosen = F.when(F.length("shared") >= 800, "shared").when(first, "mineru").otherwise("ppstructure")
-    return d.select("doc_id", chosen.alias("source"), F.length("shared").alias("n_shared"))
+    chosen = qa.source_of(d, "m", "p")
+    return chosen.select("doc_id", "source", F.length("shared").alias("n_shared"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_answer, tokens
-from ..operators import qa, retrieval
+from ..operators import evaluation, qa, retrieval
 from ..sources import fixtures as fx
 from .registry import query
 from .text import sql_norm, sql_tokens
@@ -56,10 +56,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY score DESC,
 
 
 def bm25_hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Hits over line chunks; scores are rounded before ranking, so that sums of another order tie alike."""
-    index, asked = retrieval.build_index(line_chunks(spark, sf)), questions(spark, sf)
-    rows = retrieval.bm25(index, asked, top=1_000_000).drop("rank").withColumn("score", F.round("score", 9))
-    return retrieval.top_hits(rows, "qa_id", "chunk_index")
+    """Hits over line chunks."""
+    return retrieval.bm25(retrieval.build_index(line_chunks(spark, sf)), questions(spark, sf), digits=9)
 
 
 @query("ret06_bm25", f"WITH {BM25_SQL} SELECT qa_id, CAST(rank AS INT) AS rank, CAST(pos AS INT) AS chunk_index, round(score, 6) AS score FROM ranked")
@@ -157,14 +155,15 @@ def agg15(spark: SparkSession, sf: str) -> DataFrame:
     return r.withColumns({c: F.round(c, 6) for c in ("em_rate", "f1_mean", "missing_rate")})
 
 
-@query("agg16_dense_grid_drops", f"""WITH {INST_SQL}, m AS (SELECT pipeline, condition, avg(em) AS em FROM scored GROUP BY ALL), g AS (SELECT * FROM (VALUES ('en'), ('de'), ('xx')) p(pipeline), (SELECT cname AS condition FROM cond)),
+@query("agg16_dense_grid_drops", f"""WITH {INST_SQL}, m AS (SELECT pipeline, condition, avg(em) AS em FROM scored GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT pipeline FROM qa UNION ALL SELECT 'xx') p, (SELECT cname AS condition FROM cond)),
 v AS (SELECT g.pipeline, g.condition, coalesce(em, 0) AS em FROM g LEFT JOIN m USING (pipeline, condition)), w AS (SELECT *, max(CASE WHEN condition = 'clean' THEN em END) OVER (PARTITION BY pipeline) AS c FROM v)
 SELECT pipeline, condition, round(em, 6) AS em_rate, round(CASE WHEN condition = 'clean' THEN 0 ELSE coalesce(c, 0) - em END, 6)::DOUBLE AS drop FROM w""")
 def agg16(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.stats import dense_grid
 
     r = qa.rates(qa.score(instances(spark, sf)), ["pipeline", "condition"]).select("pipeline", "condition", "em_rate")
-    grid = dense_grid(r, {"pipeline": ["en", "de", "xx"], "condition": list(CONDITIONS)})
+    known = r.select("pipeline").distinct().unionByName(spark.createDataFrame([("xx",)], "pipeline string"))
+    grid = known.crossJoin(F.broadcast(dense_grid(r, {"condition": list(CONDITIONS)})))  # the literal conditions
     full = grid.join(r, ["pipeline", "condition"], "left").withColumn("em_rate", F.coalesce("em_rate", F.lit(0.0)))
     return qa.drops(full, "em_rate", ["pipeline"]).select("pipeline", "condition", F.round("em_rate", 6).alias("em_rate"), F.round("drop", 6).alias("drop"))
 
@@ -188,16 +187,24 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("reasons", qa.reject_reasons(F.col("source"), F.col("source"), F.col("second")))
 
 
-@query("prj20_reject_reasons", f"""WITH {QA_SQL}, c AS (SELECT page_id, pos, array_to_string(t[1:3], ' ') AS q, CASE WHEN pos % 7 = 3 THEN 'the paper' WHEN pos % 5 = 4 THEN '' ELSE array_to_string(t[3:5], ' ') END AS a, array_to_string(t, ' ') AS s FROM bt),
-r AS (SELECT page_id, pos, unnest(list_filter([CASE WHEN q = '' THEN 'empty_question' END, CASE WHEN a = '' THEN 'empty_answer' END, CASE WHEN a = '' THEN 'empty_normalized_answer' END,
- CASE WHEN len(list_filter(string_split(a, ' '), lambda x: x <> '')) NOT BETWEEN 2 AND 15 THEN 'answer_length_out_of_range' END, CASE WHEN a = 'the paper' THEN 'generic_answer' END, CASE WHEN NOT contains(s, a) THEN 'answer_not_in_source_text' END, CASE WHEN NOT contains(s, a) THEN 'answer_not_in_mineru_text' END], lambda x: x IS NOT NULL)) AS reason FROM c)
-SELECT reason, count(*) AS n FROM r GROUP BY reason""")
+_CANDIDATES = f"""{QA_SQL}, c0 AS (SELECT page_id, pos, array_to_string(t[1:3], ' ') AS q, CASE WHEN pos % 7 = 3 THEN 'the paper' WHEN pos % 5 = 4 THEN '' ELSE array_to_string(t[3:5], ' ') END AS a, array_to_string(t, ' ') AS s,
+ concat_ws(' ', text, lag(text, 1, '') OVER (PARTITION BY page_id ORDER BY pos)) AS two FROM bt), c1 AS (SELECT *, {sql_norm('two')} AS p FROM c0),
+c AS (SELECT *, CASE WHEN a = '' THEN 0 ELSE (length(s) - length(replace(s, a, ''))) // length(a) END AS ns, CASE WHEN a = '' THEN 0 ELSE (length(p) - length(replace(p, a, ''))) // length(a) END AS np FROM c1),
+r AS (SELECT page_id, pos, q, a, list_filter([CASE WHEN q = '' THEN 'empty_question' END, CASE WHEN a = '' THEN 'empty_answer' END, CASE WHEN a = '' THEN 'empty_normalized_answer' END,
+ CASE WHEN len(list_filter(string_split(a, ' '), lambda x: x <> '')) NOT BETWEEN 2 AND 15 THEN 'answer_length_out_of_range' END, CASE WHEN a = 'the paper' THEN 'generic_answer' END, CASE WHEN NOT contains(s, a) THEN 'answer_not_in_source_text' END, CASE WHEN NOT contains(s, a) THEN 'answer_not_in_mineru_text' END,
+ CASE WHEN NOT contains(p, a) THEN 'answer_not_in_ppstructure_text' END, CASE WHEN ns > 3 THEN 'answer_too_frequent_mineru' END, CASE WHEN np > 3 THEN 'answer_too_frequent_ppstructure' END], lambda x: x IS NOT NULL) AS reasons FROM c)"""
+
+
+@query("prj20_reject_reasons", f"WITH {_CANDIDATES}, u AS (SELECT unnest(reasons) AS reason FROM r) SELECT reason, count(*) AS n FROM u GROUP BY reason")
 def prj20(spark: SparkSession, sf: str) -> DataFrame:
-    rows = candidates(spark, sf).select(F.explode("reasons").alias("reason")).filter(~F.col("reason").isin("answer_not_in_ppstructure_text", "answer_too_frequent_mineru", "answer_too_frequent_ppstructure"))
-    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return candidates(spark, sf).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("win05_sequential_dedupe")
+@query("win05_sequential_dedupe", f"""WITH RECURSIVE {_CANDIDATES}, sound AS (SELECT page_id, pos, q, a, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rn FROM r WHERE len(reasons) = 0),
+f AS (SELECT page_id, rn, pos, q, a, true AS ok, [q] AS qs, [a] AS answers, 1 AS n FROM sound WHERE rn = 1 UNION ALL
+ SELECT t.page_id, t.rn, t.pos, t.q, t.a, t.ok, CASE WHEN t.ok THEN list_append(qs, t.q) ELSE qs END, CASE WHEN t.ok THEN list_append(answers, t.a) ELSE answers END, n + t.ok::INT
+ FROM (SELECT s.*, f.qs, f.answers, f.n, NOT list_contains(f.qs, s.q) AND NOT list_contains(f.answers, s.a) AS ok FROM f JOIN sound s ON s.page_id = f.page_id AND s.rn = f.rn + 1) t)
+SELECT page_id, CAST(pos AS INT) AS pos, q AS question, a AS answer, page_id || '_q' || lpad(CAST(n AS VARCHAR), 3, '0') AS qa_id FROM f WHERE ok""")
 def win05(spark: SparkSession, sf: str) -> DataFrame:
     sound = candidates(spark, sf).filter(F.size("reasons") == 0).select("page_id", "pos", "question", "answer")
     return qa.accept_in_order(sound)
@@ -212,3 +219,108 @@ def nest04(spark: SparkSession, sf: str) -> DataFrame:
     i = i.withColumn("k", (F.col("page_id") * 7 + F.col("block") * 3 + F.col("item_pos") * 5) % 12)
     answers = i.filter((F.col("page_id") + F.col("item_pos")) % 3 != 0).select("page_id", "qa_id", "pred", F.when(F.col("k") % 4 == 0, "odd").otherwise(F.col("answer_status")).alias("status"), F.col("pred").alias("quote"), "item_pos")
     return qa.normalize_answers(questions(spark, sf).select("page_id", "qa_id"), answers).drop("quote")
+
+
+def stored(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Answers, questions, parses and metadata as files would hold them: nested by page, with gaps in every lookup."""
+    c = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("condition")) for i, n in enumerate(CONDITIONS)]))
+    asked = questions(spark, sf).drop("condition")
+    rows = asked.withColumn("c", c).select("*", "c.i", "c.condition").withColumn("k", (F.col("page_id") * 7 + F.col("pos") * 3 + F.col("i") * 5) % 12)
+    status = F.when(F.col("k") == 0, "api_failed").when(F.col("k") < 3, "not_found").otherwise("answered")
+    pred = F.when(F.col("k") % 3 == 0, F.col("gold")).when(F.col("k") % 3 == 1, F.substring_index("gold", " ", 2)).otherwise(F.col("question"))
+    said = F.struct("qa_id", F.lit(None).cast("string").alias("question"), status.alias("status"), pred.alias("pred"))
+    parser = F.when((F.col("i") > 0) & (F.col("page_id") % 9 == 4), "empty").otherwise("success")
+    answers = rows.groupBy("pipeline", "condition", "page_id", parser.alias("parser_status")).agg(F.collect_list(said).alias("answers")).withColumn("api_status", F.lit("ok"))
+    kind = F.when(F.col("pos") % 2 == 0, "phrase").otherwise("term")
+    texts = fx.table(spark, sf, "documents").filter("doc_id % 13 <> 5").select(F.col("doc_id").alias("page_id"), F.col("lang").alias("pipeline"), F.col("text").alias("page_text"))
+    parses = texts.withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
+    pages = asked.select("page_id").distinct().withColumn("c", c).select("page_id", "c.i", "c.condition").filter("i > 0 and page_id % 4 <> 0")
+    metadata = pages.select("page_id", "condition", (F.col("i") * 0.01 + (F.col("page_id") % 5) * 0.001).alias("tor"))
+    return {"answers": answers, "questions": asked.filter("pos % 6 <> 5").select("qa_id", "question", "gold", kind.alias("answer_type")), "parses": parses, "metadata": metadata}
+
+
+_META = """meta AS (SELECT page_id, cname AS condition, i * 0.01::DOUBLE + (page_id % 5) * 0.001::DOUBLE AS tor FROM (SELECT DISTINCT page_id FROM qa), cond WHERE i > 0 AND page_id % 4 <> 0),
+mtor AS (SELECT condition, avg(tor) AS mean_tor FROM meta GROUP BY 1)"""
+STORED_SQL = f"""{QA_SQL}, cond AS (SELECT i, ['clean', 'structural_probe', 'area_matched', 'large_area'][i + 1] AS cname FROM range(4) t(i)), {_META},
+a0 AS (SELECT qa.*, i, cname, (page_id * 7 + pos * 3 + i * 5) % 12 AS k FROM (SELECT qa_id, page_id, pipeline, pos, question, gold FROM qa) qa, cond),
+a1 AS (SELECT qa_id, a0.page_id, pipeline, cname AS condition, CASE WHEN k = 0 THEN 'api_failed' WHEN k < 3 THEN 'not_found' ELSE 'answered' END AS answer_status, CASE WHEN i > 0 AND a0.page_id % 9 = 4 THEN 'empty' ELSE 'success' END AS parser_status,
+  CASE WHEN k % 3 = 0 THEN gold WHEN k % 3 = 1 THEN array_to_string((string_split(gold, ' '))[1:2], ' ') ELSE question END AS pred, CASE WHEN pos % 6 = 5 THEN '' ELSE gold END AS gold, CASE WHEN pos % 6 = 5 THEN 'unknown' WHEN pos % 2 = 0 THEN 'phrase' ELSE 'term' END AS answer_type,
+  coalesce(meta.tor, CASE WHEN i = 0 THEN 0 ELSE mean_tor END) AS tor, CASE WHEN a0.page_id % 13 = 5 THEN '' ELSE d.text END AS page_text
+  FROM a0 JOIN documents d ON d.doc_id = a0.page_id LEFT JOIN meta ON meta.page_id = a0.page_id AND meta.condition = cname LEFT JOIN mtor ON mtor.condition = cname),
+norm AS (SELECT DISTINCT page_id, page_text, {sql_norm('page_text')} AS n FROM (SELECT DISTINCT page_id, page_text FROM a1)),
+bag AS (SELECT qa_id, condition, t, sum(x) AS na, sum(y) AS nb FROM (SELECT qa_id, condition, unnest(string_split(pred, ' ')) AS t, 1 AS x, 0 AS y FROM a1 UNION ALL SELECT qa_id, condition, unnest(string_split(gold, ' ')), 0, 1 FROM a1 WHERE gold <> '') GROUP BY ALL),
+f AS (SELECT qa_id, condition, 2.0::DOUBLE * sum(least(na, nb)) / (sum(na) + sum(nb)) AS f1 FROM bag GROUP BY ALL),
+inst AS (SELECT a1.* EXCLUDE (page_text), CASE WHEN parser_status <> 'success' THEN 1 WHEN gold <> '' AND contains(n, gold) THEN 0 ELSE 1 END AS missing,
+  CASE WHEN parser_status = 'success' AND answer_status = 'answered' AND pred = gold THEN 1.0::DOUBLE ELSE 0 END AS em, CASE WHEN parser_status = 'success' AND answer_status = 'answered' THEN f1 ELSE 0 END AS f1 FROM a1 JOIN f USING (qa_id, condition) JOIN norm USING (page_id)),
+flat AS (SELECT *, CASE WHEN parser_status <> 'success' THEN 'Parser Empty / Invalid' WHEN answer_status = 'api_failed' THEN 'API Failed' WHEN em >= 1 THEN 'Correct' WHEN missing = 1 THEN 'Answer Lost' WHEN answer_status = 'not_found' THEN 'Answer Present but NOT_FOUND' ELSE 'Answer Present but Wrong' END AS failure_type FROM inst)"""
+
+
+def flat_answers(spark: SparkSession, sf: str) -> DataFrame:
+    s = stored(spark, sf)
+    return evaluation.flatten_answers(s["answers"], s["questions"], s["parses"], s["metadata"])
+
+
+@query("join09_flatten_answers", f"WITH {STORED_SQL} SELECT qa_id, condition, answer_type, gold, missing, em, round(f1, 6)::DOUBLE AS f1, round(tor, 9) AS tor, failure_type FROM flat")
+def join09(spark: SparkSession, sf: str) -> DataFrame:
+    return flat_answers(spark, sf).select("qa_id", "condition", "answer_type", "gold", "missing", "em", F.round("f1", 6).alias("f1"), F.round("tor", 9).alias("tor"), "failure_type")
+
+
+@query("agg17_rates_by_page", f"""WITH {STORED_SQL} SELECT pipeline, condition, page_id, count(*) AS num_qa, min(parser_status) AS parser_status, round(min(tor), 9) AS tor, round(avg(missing), 6) AS missing_rate, round(avg(CASE WHEN answer_status = 'not_found' THEN 1.0::DOUBLE ELSE 0 END), 6) AS not_found_rate, round(avg(em), 6) AS em_rate, round(avg(f1), 6) AS f1_mean,
+ count(*) FILTER (failure_type = 'Correct') AS n_correct, count(*) FILTER (failure_type = 'Answer Lost') AS n_answer_lost, count(*) FILTER (failure_type = 'Answer Present but NOT_FOUND') AS n_not_found, count(*) FILTER (failure_type = 'Answer Present but Wrong') AS n_wrong, count(*) FILTER (failure_type = 'Parser Empty / Invalid') AS n_parser_empty FROM flat GROUP BY ALL""")
+def agg17(spark: SparkSession, sf: str) -> DataFrame:
+    rows = evaluation.answer_rates_by_page(flat_answers(spark, sf))
+    return rows.withColumns({c: F.round(c, 6) for c in ("missing_rate", "not_found_rate", "em_rate", "f1_mean")}).withColumn("tor", F.round("tor", 9))
+
+
+@query("agg18_rates_by_type", f"""WITH {STORED_SQL}, m AS (SELECT pipeline, condition, answer_type, count(*) AS num_qa, avg(missing) AS missing_rate, avg(em) AS em_rate, avg(f1) AS f1_mean FROM flat GROUP BY ALL), w AS (SELECT *, max(CASE WHEN condition = 'clean' THEN em_rate END) OVER (PARTITION BY pipeline, answer_type) AS c FROM m)
+SELECT pipeline, condition, answer_type, num_qa, round(missing_rate, 6) AS missing_rate, round(em_rate, 6) AS em_rate, round(f1_mean, 6) AS f1_mean, round(CASE WHEN condition = 'clean' THEN 0 ELSE coalesce(c, 0) - em_rate END, 6)::DOUBLE AS drop FROM w""")
+def agg18(spark: SparkSession, sf: str) -> DataFrame:
+    rows = evaluation.answer_rates_by_type(flat_answers(spark, sf)).drop("not_found_rate")
+    return rows.withColumns({c: F.round(c, 6) for c in ("missing_rate", "em_rate", "f1_mean", "drop")})
+
+
+def flat_runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(instances, metadata) of keyword runs over line chunks, hits labelled and nested in rank order."""
+    asked = questions(spark, sf)
+    hits = retrieval.label_hits(bm25_hits(spark, sf), line_chunks(spark, sf), asked.withColumn("evidence", F.array_join(F.slice(tokens(normalize_answer(F.col("evidence"))), 1, 6), " ")))
+    nested = hits.groupBy("qa_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "answer_hit", "evidence_hit"))), lambda h: F.struct(h.answer_hit.alias("answer_hit"), h.evidence_hit.alias("evidence_hit"))).alias("hits"))
+    condition = F.when(F.col("page_id") % 2 == 0, "clean").otherwise("structural_probe")
+    runs = asked.select("qa_id", "page_id", "pipeline", condition.alias("condition"), F.lit("bm25").alias("retriever"), F.lit("success").alias("parser_status"), (F.col("page_id") % 9).alias("num_chunks")).join(nested, "qa_id", "left")
+    metadata = asked.filter("page_id % 2 = 1 and page_id % 3 = 0").select("page_id", F.lit("structural_probe").alias("condition"), (0.01 + (F.col("page_id") % 5) * 0.001).alias("tor")).distinct()
+    kinds = asked.select("qa_id", F.when(F.col("pos") % 2 == 0, "phrase").otherwise("term").alias("answer_type"))
+    return evaluation.flatten_runs(runs, kinds, metadata), metadata
+
+
+RUNS_SQL = f"""{BM25_SQL}, hq AS (SELECT r.qa_id, r.page_id, rank, contains(n.b, gold) AS ans, contains(n.b, ev) AS evid FROM ranked r JOIN (SELECT qa_id, gold, array_to_string(({sql_tokens(sql_norm('evidence'))})[1:6], ' ') AS ev FROM qa) q USING (qa_id) JOIN (SELECT page_id, pos, array_to_string(t, ' ') AS b FROM bt) n ON n.page_id = r.page_id AND n.pos = r.pos),
+per AS (SELECT qa_id, min(rank) FILTER (evid) AS fe, min(rank) FILTER (ans) AS fa, coalesce(sum(1 / log2(rank + 1.0)) FILTER (evid), 0) AS ndcg, count(*) AS num_hits FROM hq GROUP BY 1),
+meta AS (SELECT DISTINCT page_id, 0.01::DOUBLE + (page_id % 5) * 0.001::DOUBLE AS tor FROM qa WHERE page_id % 2 = 1 AND page_id % 3 = 0), mt AS (SELECT avg(tor) AS m FROM meta),
+runs AS (SELECT qa.qa_id, qa.page_id, pipeline, CASE WHEN qa.page_id % 2 = 0 THEN 'clean' ELSE 'structural_probe' END AS condition, 'bm25' AS retriever, qa.page_id % 9 AS num_chunks, CASE WHEN pos % 2 = 0 THEN 'phrase' ELSE 'term' END AS answer_type, coalesce(num_hits, 0) AS num_hits,
+  coalesce(tor, CASE WHEN qa.page_id % 2 = 0 THEN 0 ELSE (SELECT m FROM mt) END) AS tor, CASE WHEN fe <= 1 THEN 1.0::DOUBLE ELSE 0 END AS e1, CASE WHEN fe <= 5 THEN 1.0::DOUBLE ELSE 0 END AS e5, CASE WHEN fa <= 5 THEN 1.0::DOUBLE ELSE 0 END AS a5, coalesce(1.0::DOUBLE / fe, 0) AS me, coalesce(1.0::DOUBLE / fa, 0) AS ma, coalesce(ndcg, 0) AS ndcg
+  FROM qa LEFT JOIN per USING (qa_id) LEFT JOIN meta ON meta.page_id = qa.page_id)"""
+
+
+@query("join10_flatten_runs", f"WITH {RUNS_SQL} SELECT qa_id, condition, answer_type, CAST(num_hits AS INT) AS num_hits, round(tor, 9) AS tor, e1 AS recall_evidence_1, e5 AS recall_evidence_5, a5 AS recall_answer_5, round(me, 6) AS mrr_evidence, round(ndcg, 6) AS ndcg_evidence FROM runs")
+def join10(spark: SparkSession, sf: str) -> DataFrame:
+    rows, _ = flat_runs(spark, sf)
+    return rows.select("qa_id", "condition", "answer_type", "num_hits", F.round("tor", 9).alias("tor"), "recall_evidence_1", "recall_evidence_5", "recall_answer_5", F.round("mrr_evidence", 6).alias("mrr_evidence"), F.round("ndcg_evidence", 6).alias("ndcg_evidence"))
+
+
+@query("agg19_run_rates", f"""WITH {RUNS_SQL}, m AS (SELECT pipeline, condition, count(*) AS num_queries, count(DISTINCT page_id) AS num_pages, avg(num_chunks) AS mean_chunks, avg(e5) AS e5, avg(a5) AS a5, avg(me) AS me, avg(ndcg) AS nd FROM runs GROUP BY ALL), w AS (SELECT *, max(CASE WHEN condition = 'clean' THEN e5 END) OVER (PARTITION BY pipeline) AS c FROM m),
+d AS (SELECT *, CASE WHEN condition = 'clean' THEN 0 ELSE coalesce(c, 0) - e5 END AS drop FROM w)
+SELECT pipeline, condition, num_queries, num_pages, round(mean_chunks, 6) AS mean_chunks, round(e5, 6) AS recall_evidence_5, round(a5, 6) AS recall_answer_5, round(me, 6) AS mrr_evidence, round(nd, 6) AS ndcg_evidence, round(drop, 6)::DOUBLE AS drop, round(CASE WHEN condition <> 'clean' THEN drop / (SELECT m FROM mt) END, 5)::DOUBLE AS drop_per_tor FROM d""")
+def agg19(spark: SparkSession, sf: str) -> DataFrame:
+    rows, metadata = flat_runs(spark, sf)
+    per = evaluation.run_rates_by_condition(rows, metadata)
+    return per.select("pipeline", "condition", "num_queries", "num_pages", *(F.round(c, 6).alias(c) for c in ("mean_chunks", "recall_evidence_5", "recall_answer_5", "mrr_evidence", "ndcg_evidence", "drop")), F.round("drop_per_tor", 5).alias("drop_per_tor"))
+
+
+@query("agg19_run_rates_by_type", f"WITH {RUNS_SQL} SELECT pipeline, condition, answer_type, count(*) AS num_qa, round(avg(e5), 6) AS recall_evidence_5, round(avg(a5), 6) AS recall_answer_5, round(avg(me), 6) AS mrr_evidence FROM runs GROUP BY ALL")
+def agg19_type(spark: SparkSession, sf: str) -> DataFrame:
+    rows = evaluation.run_rates_by_type(flat_runs(spark, sf)[0]).drop("retriever")
+    return rows.withColumns({c: F.round(c, 6) for c in ("recall_evidence_5", "recall_answer_5", "mrr_evidence")})
+
+
+@query("agg19_run_rates_by_page", f"WITH {RUNS_SQL} SELECT pipeline, condition, page_id, count(*) AS num_qa, min(num_chunks) AS num_chunks, round(min(tor), 9) AS tor, round(avg(e5), 6) AS recall_evidence_5, round(avg(a5), 6) AS recall_answer_5, round(avg(me), 6) AS mrr_evidence FROM runs GROUP BY ALL")
+def agg19_page(spark: SparkSession, sf: str) -> DataFrame:
+    rows = evaluation.run_rates_by_page(flat_runs(spark, sf)[0]).drop("retriever", "parser_status")
+    return rows.withColumns({c: F.round(c, 6) for c in ("recall_evidence_5", "recall_answer_5", "mrr_evidence")}).withColumn("tor", F.round("tor", 9))

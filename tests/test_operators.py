@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens.operators import detection, external, masks, matching, parse_records, planning, qa, raster, retrieval, stats
+from pagelens.operators import detection, evaluation, external, masks, matching, parse_records, planning, qa, raster, retrieval, stats
+from pagelens.operators import pages as page_sets
 from pagelens.sources import files
 
 EL = "page_id long, elem_id long, x long, y long, w long, h long, type string, text string"
@@ -49,14 +50,22 @@ def test_mask_runs_equal_painting(spark):
     rng = np.random.default_rng(3)
     boxes = [(int(p), *map(int, b)) for p in range(5) for b in np.sort(rng.integers(-5, 45, (6, 2, 2)), 1).reshape(6, 4)]
     rows = spark.createDataFrame(boxes, "page_id int, x1 int, y1 int, x2 int, y2 int")
-    runs = masks.union_runs(masks.box_runs(rows, ["page_id"], 40, 40), ["page_id"])
-    got = {r.page_id: r.pixels for r in masks.run_area(runs, ["page_id"]).collect()}
-    for p in range(5):
-        image = np.zeros((40, 40), bool)
-        for q, x1, y1, x2, y2 in boxes:
-            if q == p:
-                image[max(0, y1) : max(0, y2), max(0, x1) : max(0, x2)] = True
-        assert got.get(p, 0) == image.sum()
+    def painted(rects):
+        image = np.zeros((5, 40, 40), int)
+        for p, x1, y1, x2, y2 in rects:
+            image[p, max(0, y1) : max(0, y2), max(0, x1) : max(0, x2)] += 1
+        return image
+
+    runs = masks.union(masks.clipped(rows, ["page_id"], 40, 40), ["page_id"])
+    want = painted(boxes) > 0
+    assert {r.page_id: r.pixels for r in masks.pixels(runs, ["page_id"]).collect()} == {p: w.sum() for p, w in enumerate(want)}
+    assert (painted([(r.page_id, r.x0, r.y0, r.x1, r.y1) for r in runs.collect()]) == want).all()
+    band = masks.outline_bands(rows, ["page_id"], 3, 40, 40)
+    ring = (painted([(p, a - 3, b - 3, c + 3, d + 3) for p, a, b, c, d in boxes]) > 0) & ~(painted([(p, a + 3, b + 3, c - 3, d - 3) for p, a, b, c, d in boxes if a + 3 < c - 3 and b + 3 < d - 3]) > 0)
+    assert (painted([(r.page_id, r.x0, r.y0, r.x1, r.y1) for r in band.collect()]) == ring).all()
+    for mask, name in ((want, runs), (ring, band)):
+        spots = planning.sampled_targets(name, rows.select("page_id").distinct(), ["page_id"], 40, 40).collect()
+        assert len(spots) == 5 and all(mask[s.page_id, s.y, s.x] for s in spots)
 
 
 def test_statistics_edges(spark):
@@ -67,8 +76,33 @@ def test_statistics_edges(spark):
     assert sorted(r.r for r in ranks) == [1.0, 2.5, 2.5, 4.0]
 
 
+def chunks_by_hand(texts, least=200, limit=700, most=700, step=620):
+    """Lengths and block numbers, deciding for every block in turn whether it still fits."""
+    out, open_ = [], []
+    for i, t in enumerate([*texts, None]):
+        size = sum(n + 1 for n, _ in open_)
+        if open_ and (t is None or len(t) > most or (t and size >= least and size + len(t) + 1 > limit)):
+            out.append((size - 1, [k for _, k in open_]))
+            open_ = []
+        if t and len(t) > most:
+            at = [0]
+            while at[-1] + most < len(t):
+                at.append(at[-1] + step)
+            out += [(min(most, len(t) - a), [i]) for a in at]
+        elif t:
+            open_.append((len(t), i))
+            if sum(n + 1 for n, _ in open_) >= limit:
+                out.append((sum(n + 1 for n, _ in open_) - 1, [k for _, k in open_]))
+                open_ = []
+    return out
+
+
 def test_chunk_fold():
     assert [len(t) for t, _ in retrieval.fold_blocks(["x" * 701])] == [700, 81]
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        texts = ["x" * int(n) for n in rng.choice([0, 1, 40, 180, 199, 200, 350, 500, 699, 700, 701, 1500], rng.integers(0, 12))]
+        assert [(len(t), n) for t, n in retrieval.fold_blocks(texts)] == chunks_by_hand(texts)
     made = retrieval.fold_blocks(["a" * 300, "", "b" * 300, "c" * 300], target=400, least=200)
     assert [n for _, n in made] == [[0], [2], [3]] and retrieval.fold_blocks([]) == [] and retrieval.fold_blocks([" "]) == []
 
@@ -86,9 +120,38 @@ def test_sequential_dedupe(spark):
 
 
 def test_cover_steps():
-    blocks = [{"x": x, "y": 0, "w": 10, "h": 10} for x in (0, 20, 40, 300)]
-    assert planning.cover_steps(blocks, 0, 30, 30) == [] and planning.cover_steps([], 1, 30, 30) == []
-    assert planning.cover_steps(blocks, 1.0, 30, 30) == [{"cx": 20, "cy": 0, "gained": 3}, {"cx": 300, "cy": 0, "gained": 1}]
+    boxes = np.asarray([(x, 50, 10, 10) for x in (100, 120, 140, 300)])
+    assert planning.cover_steps(boxes, 0, 30, 30, 400, 400) == [] and planning.cover_steps(boxes[:0], 1, 30, 30, 400, 400) == []
+    assert planning.cover_steps(boxes, 1.0, 30, 30, 400, 400) == [(120, 50, 3), (300, 50, 1)]
+    # Centres keep the radius from the border: the block in the corner is probed from (30, 30).
+    assert planning.cover_steps(np.asarray([(0, 0, 70, 70), (200, 200, 4, 4)]), 1.0, 30, 30, 400, 400) == [(30, 30, 1), (200, 200, 1)]
+
+
+def cover_by_hand(blocks, share, r, most, page_w, page_h):
+    """Set cover pixel by rule: try every centre each time, count by loops."""
+    def near(cx, cy, b):
+        nx, ny = max(b[0] - b[2] // 2, min(cx, b[0] + b[2] // 2)), max(b[1] - b[3] // 2, min(cy, b[1] + b[3] // 2))
+        return ((cx - nx) ** 2 + (cy - ny) ** 2) ** 0.5 < r
+
+    centres = [(max(r, min(b[0], page_w - r)), max(r, min(b[1], page_h - r))) for b in blocks]
+    covered, steps = set(), []
+    while blocks and share > 0 and len(covered) < max(1, round(len(blocks) * share)) and len(steps) < most:
+        new = [{i for i, b in enumerate(blocks) if near(*c, b)} - covered for c in centres]
+        best = max(range(len(new)), key=lambda i: (len(new[i]), -i))
+        if not new[best]:
+            break
+        covered |= new[best]
+        steps.append((*centres[best], len(new[best])))
+    return steps
+
+
+def test_cover_steps_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(0, 15))
+        blocks = [tuple(map(int, b)) for b in np.stack([rng.integers(-20, 420, n), rng.integers(-20, 320, n), rng.integers(1, 90, n), rng.integers(1, 90, n)], 1)]
+        share, r = float(rng.choice([0, 0.3, 0.6, 1.0])), int(rng.choice([20, 70, 180]))
+        assert planning.cover_steps(np.asarray(blocks, np.int64).reshape(-1, 4), share, r, 5, 400, 300) == cover_by_hand(blocks, share, r, 5, 400, 300)
 
 
 def test_canonical_labels(spark):
@@ -133,7 +196,11 @@ def test_raster():
     anchor = raster.anchor_mask([(10, 10, 40, 40)], shape, 3)
     assert content.sum() == 900 and anchor[10, 20] and not anchor[25, 25] and not (raster.background_mask(content, anchor) & content).any()
     assert (raster.corrupt(image, "gaussian_blur", 5, raster.rng_of(1)) == image).all()
-    assert raster.corrupt(image, "jpeg_compression", 70, raster.rng_of(1)) is image
+    rough = np.random.default_rng(2).integers(0, 256, (45, 61, 3)).astype(np.uint8)
+    loss = [np.abs(raster.corrupt(rough, "jpeg_compression", q, raster.rng_of(1)).astype(int) - rough).mean() for q in (95, 70, 25)]
+    assert loss[0] < loss[1] < loss[2] and (raster.corrupt(image, "jpeg_compression", 70, raster.rng_of(1)) == image).all()
+    with pytest.raises(ValueError):
+        raster.corrupt(image, "odd", 1, raster.rng_of(1))
 
 
 def test_external_boundary(spark):
@@ -155,3 +222,162 @@ def test_external_boundary(spark):
     assert sorted((r.key, r.response) for r in answers.collect()) == [("a", "old"), ("b", "new"), ("b", "new")] and fresh.count() == 1
     log = spark.createDataFrame([("k", "x")], "api_key string, event string")
     assert external.redacted(log).columns == ["event", "logged_at"]
+
+
+def overlap(a, b):
+    x1, y1, x2, y2 = (max(a[0] - a[2] / 2, b[0] - b[2] / 2), max(a[1] - a[3] / 2, b[1] - b[3] / 2), min(a[0] + a[2] / 2, b[0] + b[2] / 2), min(a[1] + a[3] / 2, b[1] + b[3] / 2))
+    inter = max(0, x2 - x1) * max(0, y2 - y1)
+    return inter / (a[2] * a[3] + b[2] * b[3] - inter)
+
+
+def edits(a, b):
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+    return d[len(a), len(b)]
+
+
+def common(a, b):
+    d = {}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = d.get((i - 1, j - 1), 0) + 1 if a[i] == b[j] else max(d.get((i - 1, j), 0), d.get((i, j - 1), 0))
+    return d.get((len(a) - 1, len(b) - 1), 0)
+
+
+def test_losses_equal_brute_force(spark):
+    """Every loss of random pages, element by element, against plain loops over the rules."""
+    rng = np.random.default_rng(12)
+    words = ["", " ", "alpha", "alphx", "Beta two", "beta", "gamma ray"]
+    box = lambda: tuple(map(int, (rng.integers(20, 140), rng.integers(20, 140), rng.integers(10, 60), rng.integers(10, 60))))
+    kinds = ["text", "title", "table"]
+    clean = [(p, i, *box(), str(rng.choice(kinds)), str(rng.choice(words))) for p in range(25) for i in range(int(rng.integers(1, 6)))]
+    adv = [(p, "C", j, *box(), str(rng.choice(kinds)), str(rng.choice(words))) for p in range(25) for j in range(int(rng.integers(0, 5)))]
+    grid = [(p, "C", 30, 30, 90, 90) for p in range(25)]
+    c, a = spark.createDataFrame(clean, EL), spark.createDataFrame(adv, AD)
+    g = spark.createDataFrame(grid, "page_id long, config_id string, mx1 long, my1 long, mx2 long, my2 long")
+    m = matching.with_similarity(matching.best_match(c, a, g)).cache()
+    losses = {r.page_id: r.b_slr for r in matching.block_loss(m).collect()}
+    paths = {r.page_id: r for r in matching.decomposed_loss(m, g).collect()}
+    texts = {r.page_id: r for r in matching.text_ablation(m).collect()}
+    greedy = {r.page_id: r.delta_cer for r in matching.greedy_cer(c, a, g).collect()}
+    maps = {r.page_id: r.map for r in detection.page_map(c, a.withColumn("score", F.lit(1.0)), g).collect()}
+    for p in range(25):
+        mine, found = [r for r in clean if r[0] == p], [r for r in adv if r[0] == p]
+        rows = []
+        for r in mine:
+            laps = [overlap(r[2:6], b[3:7]) for b in found]
+            best = max(range(len(found)), key=lambda j: (laps[j], -j), default=None)
+            iou = laps[best] if best is not None else 0.0
+            other = found[best] if iou > 0 else None
+            ref, hyp = r[7].strip().lower(), (other[8].strip().lower() if other else "")
+            sim = None if other is None or not ref else common(ref, hyp) / max(len(ref), len(hyp)) if hyp else 0.0
+            rows.append((r, other, iou, ref, hyp, sim, iou < 0.1 or (bool(ref) and (sim or 0.0) < 0.5)))
+        assert abs(losses[p] - sum(x[6] for x in rows) / len(rows)) < 1e-9
+        sharing = [id(x[1]) for x in rows if x[2] >= 0.1]
+        names = []
+        for r, other, iou, _, _, _, lost in rows:
+            x1, y1 = max(0, r[2] - r[4] // 2), max(0, r[3] - r[5] // 2)
+            w, h = min(1000, x1 + r[4]) - x1, min(1400, y1 + r[5]) - y1
+            under = max(0, min(x1 + w, 90) - max(x1, 30)) * max(0, min(y1 + h, 90) - max(y1, 30)) / (w * h) >= 0.3
+            names.append("intact" if not lost else "miss" if under else "merge" if iou >= 0.1 and sharing.count(id(other)) > 1 else "misclass" if iou >= 0.1 and other[7] != r[6] else "degraded")
+        assert [paths[p][f"n_{n}"] for n in ("miss", "merge", "misclass", "degraded", "intact")] == [names.count(n) for n in ("miss", "merge", "misclass", "degraded", "intact")]
+        worded, near = [x for x in rows if x[3]], [x[5] for x in rows if x[3] and x[2] >= 0.1]
+        default = 0.0 if not found else 1.0
+        assert abs(texts[p].text_sim_mean - (sum(near) / len(near) if near else default)) < 1e-9 and abs(texts[p].text_sim_min - (min(near) if near else default)) < 1e-9
+        rates = [edits(x[3], x[4]) / len(x[3]) if x[1] else 1.0 for x in worded]
+        assert abs(texts[p].cer_mean - (sum(rates) / len(rates) if rates else 1.0)) < 1e-9 and texts[p].n_text_degraded == sum(s < 0.5 for s in near)
+        free, rates = list(found), []
+        for x in worded:
+            laps = [overlap(x[0][2:6], b[3:7]) for b in free]
+            if laps and max(laps) > 0:
+                rates.append(edits(x[3], free.pop(laps.index(max(laps)))[8].strip().lower()) / len(x[3]))
+            else:
+                rates.append(1.0)
+        assert abs(greedy[p] - (1.0 if not found or not rates else sum(rates) / len(rates))) < 1e-9
+        aps = []
+        for kind in {r[6] for r in mine}:
+            left, flags = [r for r in mine if r[6] == kind], []
+            total = len(left)
+            for b in (b for b in found if b[7] == kind):
+                laps = [overlap(r[2:6], b[3:7]) for r in left]
+                flags.append(bool(laps) and max(laps) >= 0.5)
+                if flags[-1]:
+                    left.pop(laps.index(max(laps)))
+            hits = np.cumsum(flags)
+            aps.append(sum(max(hits[k] / (k + 1) for k in range(i, len(flags))) for i, f in enumerate(flags) if f) / total)
+        assert abs(maps[p] - sum(aps) / len(aps)) < 1e-9, p
+
+
+def test_metric_rows_agree(spark, pages):
+    clean, adv, grid = pages
+    rows = {r.page_id: r for r in matching.metric_rows(clean, adv, grid).collect()}
+    assert set(rows) == {1, 2} and all(abs(r.b_slr - r.slr_miss - r.slr_topo) < 1e-12 for r in rows.values())
+    guard = spark.createDataFrame([(1,), (2,), (9,)], "page_id long")
+    kept, warned = page_sets.guarded(guard, clean)
+    assert sorted(r.page_id for r in kept.collect()) == [1, 2] and [r.page_id for r in warned.collect()] == [9]
+
+
+def test_page_sets(spark):
+    rows = spark.createDataFrame([(1, "doclaynet", "law"), (2, "doclaynet", None), (3, "publaynet", None), (4, None, "law")], "page_id long, data_source string, doc_category string")
+    ids = lambda df: sorted(r.page_id for r in df.collect())
+    assert ids(page_sets.of_source(rows, "doclaynet")) == [1, 2] and ids(page_sets.of_source(rows, None)) == [1, 2, 3, 4]
+    assert ids(page_sets.of_categories(rows, {"law"})) == [1, 3, 4] and ids(page_sets.of_categories(rows, set())) == [1, 2, 3, 4]
+    base = spark.createDataFrame([(1, ["s"], ["e"]), (2, [], ["e"]), (3, ["s"], None)], "page_id long, spans array<string>, elements array<string>")
+    assert ids(page_sets.without_empty_baseline(rows, base)) == [1, 4]
+    gate = page_sets.baseline_gate(base).first()
+    assert (gate.pages, gate.empty, gate.ok) == (3, 1, False) and page_sets.baseline_gate(base.limit(0)).first().ok
+    assert page_sets.should_run({"all"}, "1a") and not page_sets.should_run({"0"}, "1a")
+    stems = spark.createDataFrame([("report_012",), ("a_b_7",), ("plain",), ("_0",)], "s string")
+    whole, page = page_sets.doc_and_page(F.col("s"))
+    assert [tuple(r) for r in stems.select(whole, page).collect()] == [("report", "12"), ("a_b", "7"), ("unknown", "unknown"), ("", "0")]
+    pool = spark.createDataFrame([(i, "simple" if i % 3 else "complex") for i in range(60)], "page_id long, level string")
+    kept = pool.filter("page_id < 8")
+    filled = page_sets.backfill(kept, pool, "level", 20, {"simple": 0.5, "complex": 0.5}, "s").collect()
+    assert len(filled) == 20 and sum(r.level == "complex" for r in filled) == 10 and {0, 1, 2, 3, 4, 5, 6, 7} <= {r.page_id for r in filled}
+    candidates = spark.createDataFrame([(i, f"i{i}.png", i, ["simple", "medium", "complex"][i % 3]) for i in range(90)] + [(5, "again.png", 99, "simple")], "page_id long, image_path string, pos int, complexity string")
+    full, debug = page_sets.build_manifest(candidates, F.when(F.col("page_id") == 7, "bad"), 30, 6, "42")
+    assert full.count() == 30 and debug.join(full, "page_id", "left_semi").count() == 6 and full.filter("page_id = 7").count() == 0
+
+
+def test_page_records(spark):
+    steps = spark.createDataFrame([(1, [("P1", {"w": 3.0}, "anchor", [1, 2], "r"), ("P3", {}, "random", None, "r")])], f"page_id long, steps array<{planning.STEP}>")
+    row = steps.select(*(c.alias(n) for n, c in page_sets.plan_columns(F.col("steps")).items())).first()
+    assert (row.probe_types, row.target_strategies, row.target_fallback) == ("P1;P3", "anchor;random", True) and '"probe_type":"P1"' in row.plan_json
+    items = spark.createDataFrame([("The Answer is 42 units.", [("q", "42 units", "answer is"), ("", "gone", None)])], "s string, items array<struct<question:string,answer:string,evidence:string>>")
+    assert items.select(page_sets.item_faults(F.col("items"), F.col("s"))).first()[0] == ["missing_question", "missing_evidence", "answer_not_in_source"]
+    kept = spark.createDataFrame([(["A b", "a B", "c", "", "d", "e", "f"], [True] * 6 + [False])], "a array<string>, ok array<boolean>")
+    assert kept.select(page_sets.estimated_kept(F.col("a"), F.col("ok"))).first()[0] == 4
+    asked = spark.createDataFrame([("q2", 1, "two"), ("q1", 1, "one")], "qa_id string, page_id long, question string")
+    texts = spark.createDataFrame([(1, "x" * 9000)], "page_id long, page_text string")
+    payload = page_sets.question_payload(asked, texts).first().payload
+    assert payload.count("x" * 8000) == 1 and "x" * 8001 not in payload and payload.index('"one"') < payload.index('"two"')
+    blocks = spark.createDataFrame([([([1.4, 2.5, 40.0, 9.5], "section title"), ([5.0, 5.0, 5.0, 6.0], "x")],)], "b array<struct<bbox:array<double>,layout_type:string>>")
+    notes = blocks.select(page_sets.annotations_of(F.col("b"), F.lit(30), F.lit(30))).first()[0]
+    assert [(n.bbox, n.category) for n in notes] == [([1, 2, 30, 10], "Section Title")]
+    given = page_sets.with_fields(spark.createDataFrame([((1, 2),)], "s struct<a:int,b:int>"), "s", {"b": F.lit(5), "c": F.lit(7)}).first().s
+    assert given.asDict() == {"a": 1, "b": 5, "c": 7}
+
+
+def test_evaluation_defaults(spark):
+    meta = spark.createDataFrame([(1, "probe", 0.2), (2, "probe", 0.4)], "page_id long, condition string, tor double")
+    summary = spark.createDataFrame([("probe", 0.0), ("large", 0.9)], "condition string, mean_tor double")
+    assert {r.condition: round(r.mean_tor, 9) for r in evaluation.mean_tor(meta, summary).collect()} == {"probe": 0.3, "large": 0.9}
+    rows = spark.createDataFrame([(1, "probe"), (3, "probe"), (3, "clean"), (3, "large")], "page_id long, condition string")
+    assert {(r.page_id, r.condition): round(r.tor, 9) for r in evaluation.with_tor(rows, meta, summary).collect()} == {(1, "probe"): 0.2, (3, "probe"): 0.3, (3, "clean"): 0.0, (3, "large"): 0.9}
+    records = spark.createDataFrame([(1, "probe", "empty"), (5, "probe", "empty"), (2, "probe", "success")], "page_id long, condition string, parser_status string")
+    asked = spark.createDataFrame([(1, "a"), (1, "b")], "page_id long, qa_id string")
+    found = evaluation.empty_page_details(records, meta.withColumn("support_bbox", F.array(F.lit(1.0))), asked).collect()
+    assert {(r.page_id, r.tor, r.num_qa) for r in found} == {(1, 0.2, 2), (5, None, 0)}
+    cover = spark.createDataFrame([("answer", "m", "clean", 10, 9), ("evidence", "m", "clean", 10, 4), ("answer", "m", "probe", 10, 1)], "kind string, pipeline string, condition string, total long, covered long")
+    chunks = spark.createDataFrame([("m", "clean", 1)] * 2 + [("m", "clean", 2)] * 3, "pipeline string, condition string, page_id long")
+    gates = {r.condition: (r.pages_few_chunks, r.ready) for r in evaluation.corpus_gates(cover, chunks).collect()}
+    assert gates == {"clean": (1, False), "probe": (0, True)}
+
+
+def test_character_loss_strips():
+    from pagelens.functions.text import character_loss_of
+
+    assert character_loss_of("  abc ", "\nabc") == 0.0 and character_loss_of(" ", "x") == 0.0 and character_loss_of("abc", " \t") == 1.0
+    assert character_loss_of(" " * 3000 + "abcd", "ab") == 0.5
