@@ -209,6 +209,54 @@ def random_targets(pages: DataFrame, keys: list[str], page_w: int, page_h: int,
     return pages.select(*keys, F.floor(u("x") * page_w).alias("x"), F.floor(u("y") * page_h).alias("y"))
 
 
+def targets(elements: DataFrame, page_w: int, page_h: int, seed: str = "42") -> DataFrame:
+    """(page_id, target_strategy, x, y): a page's place under each strategy; the middle of the page where a mask is empty."""
+    from . import masks
+
+    box = {"x1": "x - w / 2.0", "y1": "y - h / 2.0", "x2": "x + w / 2.0", "y2": "y + h / 2.0"}
+    boxes = elements.select("page_id", *(F.bround(F.expr(v)).cast("int").alias(k) for k, v in box.items()))
+    pages, keys = elements.select("page_id").distinct(), ["page_id"]
+    content = masks.union(masks.clipped(boxes, keys, page_w, page_h), keys)
+    found = {
+        "anchor": sampled_targets(masks.outline_bands(boxes, keys, 5, page_w, page_h), pages, keys, page_w, page_h, seed), "content": sampled_targets(content, pages, keys, page_w, page_h, seed),
+        "random": random_targets(pages, keys, page_w, page_h, seed), "bridge": bridge_pair(elements).select("page_id", F.col("cx").alias("x"), F.col("cy").alias("y")),
+    }
+    sides = [df.select("page_id", F.lit(name).alias("target_strategy"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")) for name, df in found.items()]
+    return sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
+
+
+def phase_plans(pages: DataFrame, configs: DataFrame, places: DataFrame, done: DataFrame | None = None, static: DataFrame | None = None) -> DataFrame:
+    """(page_id, config_id, steps) of every page under every config that isn't done yet.
+
+    ``configs`` is a literal table (config_id, probe_type, target_strategy,
+    params), ``places`` comes from :func:`targets`, ``done`` holds finished
+    (page_id, config_id) and ``static`` recorded steps that win over the template.
+    """
+    rows = pages.select("page_id").crossJoin(F.broadcast(configs))  # a literal config table
+    if done is not None:
+        rows = rows.join(done.select("page_id", "config_id"), ["page_id", "config_id"], "left_anti")
+    rows = rows.join(places, ["page_id", "target_strategy"], "left")
+    made = F.array(step_of(F.col("probe_type"), F.col("params"), F.col("target_strategy"), "config", F.col("x"), F.col("y")))
+    rows = rows.select("page_id", "config_id", made.alias("steps"))
+    if static is None:
+        return rows
+    return rows.join(static.select("page_id", "config_id", F.col("steps").alias("_own")), ["page_id", "config_id"], "left").select("page_id", "config_id", F.coalesce("_own", "steps").alias("steps"))
+
+
+def targeted_plans(elements: DataFrame, page_w: int, page_h: int) -> DataFrame:
+    """(page_id, config_id, steps) of the targeted configs: the fixed stamp at each greedy position, at the page's middle where there is none."""
+    params = F.create_map(*[c for n, v in EIR_PROBE.items() for c in (F.lit(n), F.lit(v))])
+    stamp = lambda x, y: step_of("P3", params, "anchor", "targeted", x, y)
+    out = None
+    for i, share in enumerate(EIR_TARGETS):
+        found = greedy_cover(elements, share, int(EIR_PROBE["r"]), page_w, page_h).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("probe_no", "cx", "cy"))).alias("at"))
+        rows = elements.select("page_id").distinct().join(found, "page_id", "left")
+        middle = F.array(stamp(F.lit(page_w // 2), F.lit(page_h // 2)))
+        part = rows.select("page_id", F.lit(f"NT{i + 1:02d}").alias("config_id"), F.coalesce(F.transform("at", lambda a: stamp(a.cx, a.cy)), middle).alias("steps"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def area_matched_ratio(tor: Column, h: Column, w: Column) -> Column:
     side = F.least(h, w)
     return F.greatest(F.lit(0.0002), F.least(F.lit(0.05), tor * h * w / (side * side)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import audits, external, pages, parse_records, planning, raster
+from ..operators import audits, external, pages, parse_records, planning, raster, report
 from ..sources import files
 from ..sources import fixtures as fx
 from .damage import match_of
@@ -202,6 +202,51 @@ def img11(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(inside(content, "in_content"), keys).join(inside(band, "in_band"), keys)
 
 
+@query("plan08_phase_plans", f"""WITH {fx.CTES}, cfg(config_id, probe, target) AS (VALUES {', '.join(f"('{c}', '{p}', '{t}')" for c, p, t, _ in planning.ANCHORS)}), p AS (SELECT DISTINCT page_id FROM clean),
+bp AS (SELECT a.page_id, CAST(floor((a.x + b.x) / 2.0) AS INT) AS cx, CAST(floor((a.y + b.y) / 2.0) AS INT) AS cy FROM clean a JOIN clean b ON a.page_id = b.page_id AND a.elem_id < b.elem_id QUALIFY row_number() OVER (PARTITION BY a.page_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), a.elem_id, b.elem_id) = 1)
+SELECT page_id, config_id, probe, target, CASE target WHEN 'random' THEN CAST(floor({_u("'42'", 'CAST(page_id AS VARCHAR)', "'x'")} * 1000) AS INT) WHEN 'bridge' THEN coalesce(cx, 500) ELSE -1 END AS at_x,
+ CASE target WHEN 'random' THEN CAST(floor({_u("'42'", 'CAST(page_id AS VARCHAR)', "'y'")} * 1400) AS INT) WHEN 'bridge' THEN coalesce(cy, 700) ELSE -1 END AS at_y FROM p CROSS JOIN cfg LEFT JOIN bp USING (page_id) WHERE NOT (page_id % 3 = 0 AND config_id = 'A05')""")
+def plan08(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page under every anchor config but those done; places in masks are shown as -1 (img11_targets checks them)."""
+    e = fx.clean_elements(spark, sf)
+    all_pages = e.select("page_id").distinct()
+    done = all_pages.filter("page_id % 3 = 0").withColumn("config_id", F.lit("A05"))
+    rows = planning.phase_plans(all_pages, planning.anchor_configs(spark), planning.targets(e, fx.PAGE_W, fx.PAGE_H), done).withColumn("s", F.col("steps")[0])
+    shown = lambda i: F.when(F.col("s.target_strategy").isin("random", "bridge"), F.col("s.target_location")[i]).otherwise(F.lit(-1))
+    return rows.select("page_id", "config_id", F.col("s.probe_type").alias("probe"), F.col("s.target_strategy").alias("target"), shown(0).alias("at_x"), shown(1).alias("at_y"))
+
+
+_REPORT = ["tor", "acr", "bpo", "boc", "eir", "slr_miss", "slr_topo", "b_slr", "b_slr_iou_only", "b_slr_text_only", "cer", "delta_map"]
+_CONFIGS = [c for c, *_ in planning.ANCHORS] + ["NT01", "NT07"]
+
+
+def report_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metric rows by integer rules: one an order, configs in turn."""
+    k = F.col("o_orderkey")
+    config = F.element_at(F.array(*map(F.lit, _CONFIGS)), (k % len(_CONFIGS)).cast("int") + 1)
+    number = lambda i: ((k % len(_CONFIGS)) * (i * 7 + 3) % 17 + (k * (i + 2)) % 13 + 1) / 100.0
+    return fx.table(spark, sf, "orders").select(config.alias("config_id"), *(number(i).alias(c) for i, c in enumerate(_REPORT)))
+
+
+def _report_sql() -> str:
+    n = len(_CONFIGS)
+    numbers = ", ".join(f"((o_orderkey % {n}) * {i * 7 + 3} % 17 + (o_orderkey * {i + 2}) % 13 + 1) / 100.0::DOUBLE AS {c}" for i, c in enumerate(_REPORT))
+    listed = ", ".join(f"'{c}'" for c in _CONFIGS)
+    fits = " UNION ALL ".join(f"SELECT '{s}' AS section, '{m}' AS name, regr_r2({y}, {x})::DOUBLE AS value FROM cfg" for s, m, x, y in report.fitted_pairs())
+    ranks = " UNION ALL ".join(f"SELECT '{s}', '{m}', (SELECT corr(a, b) FROM (SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS a, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0 AS b FROM cfg))" for s, m, x, y in report.RANKED)
+    means = " UNION ALL ".join([*(f"SELECT 'overview', 'mean_{k}', avg({c}) FROM cfg" for k, c in report.CHANNELS.items()), "SELECT 'overview', 'text_share', avg(b_slr_text_only) / avg(b_slr) FROM cfg", "SELECT 'overview', 'n_configs', count(*) FROM cfg", "SELECT 'overview', 'n_rows', count(*) FROM m"])
+    picks = " UNION ALL ".join([*(f"SELECT 'config', '{c}_{k}', (SELECT {c} FROM cfg WHERE config_id = '{k}')" for k in dict.fromkeys((*report.ANCHORS, *report.ENDPOINTS)) for c in ("cer", "b_slr", "tor")), *(f"SELECT 'config', 'delta_map_{k}', (SELECT delta_map FROM cfg WHERE config_id = '{k}')" for k in report.ERASURES)])
+    eff = lambda c, k: f"(SELECT avg({c} / tor) FROM m WHERE config_id = '{k}')"
+    ratios = " UNION ALL ".join([*(f"SELECT 'efficiency', '{c}_{k}', {eff(c, k)}" for c, k in report.EFFICIENCY), *(f"SELECT 'efficiency', 'fold_{a}_{b}', {eff('cer', a)} / {eff('cer', b)}" for a, b in report.FOLDS)])
+    return f"""WITH m AS (SELECT [{listed}][CAST(o_orderkey % {n} AS INT) + 1] AS config_id, {numbers} FROM orders), cfg AS (SELECT config_id, {', '.join(f'avg({c}) AS {c}' for c in _REPORT)} FROM m GROUP BY 1),
+r AS ({fits} UNION ALL {ranks} UNION ALL {means} UNION ALL {picks} UNION ALL {ratios}) SELECT section, name, round(value::DOUBLE, 6) AS value FROM r"""
+
+
+@query("agg24_headline", _report_sql())
+def agg24(spark: SparkSession, sf: str) -> DataFrame:
+    return report.headline(report_metrics(spark, sf)).withColumn("value", F.round("value", 6))
+
+
 @query("plan09_sweeps", f"""WITH s(config_id, g, param, lo, hi, is_int) AS (VALUES {', '.join(f"('{c}', '{g}', '{n}', {float(lo)}::DOUBLE, {float(hi)}::DOUBLE, {'true' if isinstance(lo, int) else 'false'})" for c, g, _, _, r in planning.SWEEPS for n, (lo, hi) in r.items())}),
 p AS (SELECT o_orderkey AS page_id FROM orders), u AS (SELECT *, {_u("'42'", 'g', 'CAST(page_id AS VARCHAR)', 'param')} AS u FROM p, s)
 SELECT page_id, config_id, param, round(CASE WHEN is_int THEN floor(lo + u * (hi - lo + 1)) ELSE lo + u * (hi - lo) END, 9) AS value FROM u""")
@@ -465,14 +510,15 @@ def stat09(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("img12_run_plans")
 def img12(spark: SparkSession, sf: str) -> DataFrame:
-    """One anchor config for every page, in turn, on synthetic pages at a tenth of their size."""
+    """One anchor config for every page, in turn, at the place its strategy finds, on synthetic pages at a tenth of their size."""
     e = fx.clean_elements(spark, sf)
     boxes = e.groupBy("page_id").agg(F.collect_list(F.array(*(((F.col(c) + F.col(s) * sign / 2.0) / 10).cast("double") for c, s, sign in (("x", "w", -1), ("y", "h", -1), ("x", "w", 1), ("y", "h", 1))))).alias("boxes"))
-    step = F.struct("probe_type", "params", F.array(F.lit(30), F.lit(40)).alias("target_location"))
-    plans = planning.anchor_configs(spark).select("config_id", F.array(step).alias("steps"))
     turn = F.concat(F.lit("A"), F.lpad((F.col("page_id") % 22 + 1).cast("string"), 2, "0"))
-    pages = boxes.withColumn("config_id", turn).join(F.broadcast(plans), "config_id")  # the 22 literal configs
-    return raster.run_plans(pages, (fx.PAGE_H // 10, fx.PAGE_W // 10))
+    plans = planning.anchor_configs(spark).select("config_id", "probe_type", "params", "target_strategy")
+    rows = boxes.withColumn("config_id", turn).join(F.broadcast(plans), "config_id").join(planning.targets(e, fx.PAGE_W, fx.PAGE_H), ["page_id", "target_strategy"])  # the 22 literal configs
+    step = F.struct("probe_type", "params", F.array(F.floor(F.col("x") / 10).cast("int"), F.floor(F.col("y") / 10).cast("int")).alias("target_location"))
+    rows = rows.select("page_id", "config_id", "boxes", F.array(step).alias("steps"))
+    return raster.run_plans(rows, (fx.PAGE_H // 10, fx.PAGE_W // 10))
 
 
 @query("plan22_routes", "SELECT CASE WHEN doc_id % 11 = 0 THEN 'parser_empty' WHEN doc_id % 7 = 0 THEN 'skip' WHEN length(text) > 8000 THEN 'context_too_long' ELSE 'api' END AS route, count(*) AS n FROM documents GROUP BY 1")

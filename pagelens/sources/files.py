@@ -62,6 +62,17 @@ def read_yaml(text: str) -> dict[str, Any]:
     return yaml.safe_load(text) or {}
 
 
+def write_json_document(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """Each row as one JSON document; the folder is replaced as a whole."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).json(path)
+
+
+def write_text(df: DataFrame, path: str, column: str = "value") -> None:
+    """A column's lines as text files, null as an empty line."""
+    df.select(F.coalesce(F.col(column), F.lit("")).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A headed CSV with every cell a string; a missing path is the empty relation, a missing column null."""
     if not exists(spark, path):
@@ -149,6 +160,23 @@ def layout_annotations(doc: DataFrame, names: dict[int, str]) -> DataFrame:
     return images.join(boxes, "image_id", "left")
 
 
+def selected_dataset(doc: DataFrame, images: DataFrame, names: dict[int, str], source: str) -> DataFrame:
+    """One row an image of a selected set: size, annotations, block count, entropy and level.
+
+    ``images(file_name, width, height)`` are those that could be read; others
+    are dropped. An image without annotations is kept with none. A set
+    without a readable image is an error when it is read.
+    """
+    from ..operators.masks import layout_entropy
+    from ..operators.sampling import complexity
+
+    notes = layout_annotations(doc, names)
+    entropy = layout_entropy(notes.filter(F.col("category").isNotNull()), ["image_id"])
+    blocks = notes.groupBy("image_id", "file_name", "doc_category").agg(F.collect_list(F.when(F.col("category").isNotNull(), F.struct("category", "bbox", "area"))).alias("annotations"))
+    rows = blocks.join(images, "file_name").join(entropy, "image_id", "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0))).withColumn("n_blocks", F.size("annotations"))
+    return rows.withColumn("level", complexity(F.col("n_blocks"), F.col("entropy"))).withColumn("data_source", F.lit(source))
+
+
 def listed(df: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is listed, listed keys without a row)."""
     return df.join(ids, key, "left_semi"), ids.join(df, key, "left_anti")

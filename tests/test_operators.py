@@ -381,3 +381,46 @@ def test_character_loss_strips():
 
     assert character_loss_of("  abc ", "\nabc") == 0.0 and character_loss_of(" ", "x") == 0.0 and character_loss_of("abc", " \t") == 1.0
     assert character_loss_of(" " * 3000 + "abcd", "ab") == 0.5
+
+
+def test_saved_index(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 0, "a b"), (1, 1, "b c"), (2, 0, "")], "page_id long, chunk_index int, text string")
+    index = retrieval.build_index(chunks)
+    retrieval.save_index(index, f"{tmp_path}/index")
+    asked = spark.createDataFrame([("q", 1, "c")], "qa_id string, page_id long, question string")
+    rows = lambda i: [(r.rank, r.chunk_index, round(r.score, 9)) for r in retrieval.bm25(i, asked, top=None).orderBy("rank").collect()]
+    loaded = retrieval.load_index(spark, f"{tmp_path}/index")
+    assert rows(loaded) == rows(index) and len(rows(index)) == 2
+    index["lengths"].filter("page_id = 1").write.mode("overwrite").parquet(f"{tmp_path}/index/lengths")
+    with pytest.raises(ValueError):
+        retrieval.load_index(spark, f"{tmp_path}/index")
+
+
+def test_selected_dataset_and_writers(spark, tmp_path):
+    doc = spark.createDataFrame([([(1, "a.png", None), (2, "b.png", "law"), (3, "c.png", None)], [(1, 1, [0.0, 0.0, 10.0, 10.0], None), (1, 9, [5.0, 5.0, 5.0, 5.0], 25.0)], None)], files.COCO)
+    images = spark.createDataFrame([("a.png", 100, 100), ("b.png", 50, 80)], "file_name string, width int, height int")
+    rows = {r.file_name: r for r in files.selected_dataset(doc, images, files.PUBLAYNET, "publaynet").collect()}
+    assert set(rows) == {"a.png", "b.png"} and rows["a.png"].n_blocks == 2 and rows["b.png"].annotations == [] and rows["b.png"].level == "simple"
+    assert sorted(a.category for a in rows["a.png"].annotations) == ["9", "Text"]
+    files.write_text(spark.createDataFrame([("x",), (None,)], "value string").coalesce(1), f"{tmp_path}/t")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/t").collect()] == ["x", ""]
+    files.write_json_document(doc, f"{tmp_path}/doc")
+    assert files.read_json_document(spark, f"{tmp_path}/doc", files.COCO).first().images[1].file_name == "b.png"
+
+
+def test_targeted_plans(spark, pages):
+    clean, _, _ = pages
+    rows = {(r.page_id, r.config_id): r.steps for r in planning.targeted_plans(clean, 400, 400).collect()}
+    assert len(rows) == 14 and [s.target_location for s in rows[1, "NT07"]] == [[70, 70], [200, 200]] and rows[2, "NT01"][0].params == {"r": 70.0, "alpha": 0.55}
+    static = spark.createDataFrame([(1, "A01", [("P9", {}, "anchor", None, "own")])], f"page_id long, config_id string, steps array<{planning.STEP}>")
+    plans = {(r.page_id, r.config_id): r.steps[0] for r in planning.phase_plans(clean.select("page_id").distinct(), planning.anchor_configs(spark), planning.targets(clean, 400, 400), static=static).collect()}
+    assert len(plans) == 44 and plans[1, "A01"].probe_type == "P9" and plans[2, "A01"].probe_type == "P1" and len(plans[2, "A09"].target_location) == 2
+
+
+def test_sql_functions(spark):
+    from pagelens.functions.register import register
+
+    assert "pl_similarity" in register(spark)
+    spark.createDataFrame([("a", 1.0), ("a", None), ("b", None)], "g string, v double").createOrReplaceTempView("some_values")
+    assert {r.g: r.m for r in spark.sql("SELECT g, pl_safe_mean(v) AS m FROM some_values GROUP BY g").collect()} == {"a": 1.0, "b": 0.0}
+    assert spark.sql("SELECT pl_similarity('abc', 'axc') AS s").first().s == 2 / 3
