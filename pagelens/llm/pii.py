@@ -13,6 +13,11 @@ entity's documents. At ``REMOVE`` the term is removed in every document that
 holds the pair, wherever it stands, at ``GENERALISE`` it becomes a word class. A
 pair counts only if at least ``SUPPORT`` different contexts, that is windows,
 hold it, so that copies of one passage aren't evidence.
+
+A run of ``SECRET_CHARS`` or more letters, digits and joining marks discloses
+itself if it holds letters and digits and its characters carry at least
+``SECRET_BITS`` bits (length times entropy): keys and tokens, which no document
+but their own mentions. Such a run is a span of kind ``secret``.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ from .common import bounded_batches, own_name, staged
 from .tokens import _Memo
 
 WINDOW, SUPPORT, REMOVE, GENERALISE = 8, 3, 0.9, 0.8
-KINDS = ("email", "ip", "card", "phone", "removed", "general")
-MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "removed": "", "general": None}
+SECRET_CHARS, SECRET_BITS = 20, 64.0
+KINDS = ("email", "ip", "card", "phone", "removed", "general", "secret")
+MARKS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "removed": "", "general": None, "secret": "<SECRET>"}
 #: Distinct words counted before a worker hands them on, and documents of one output batch.
 DF_FLUSH, ROWS_OUT = 20_000, 256
 #: Bits of the filters of the pairs and terms to count; each is a table of FILTER_BITS / 8 bytes (4 MB) at any input.
@@ -45,6 +51,8 @@ _card = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _digit = re.compile("[0-9]").search
 _word = re.compile(r"[^\W_]+")
+_long_run = re.compile(rf"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{{{SECRET_CHARS},}}+")
+_letter = re.compile("[A-Za-z]").search
 Span = tuple[int, int]
 
 
@@ -100,6 +108,22 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return out
 
 
+def secrets(text: str, taken: list[Span]) -> list[Span]:
+    """Runs that disclose themselves, but those that touch a span of ``taken``."""
+    if not _digit(text):
+        return []
+    found = []
+    for m in _long_run.finditer(text):
+        if _digit(m[0]) and _letter(m[0]) and _bits(m[0]) >= SECRET_BITS and not any(s < m.end() and m.start() < e for s, e in taken):
+            found.append(m.span())
+    return found
+
+
+def _bits(s: str) -> float:
+    counts = np.fromiter(Counter(s).values(), np.float64)
+    return float(-(counts * np.log2(counts / len(s))).sum())
+
+
 def _hash(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -152,7 +176,7 @@ def _contexts(text: str, base: dict[str, list[Span]]) -> tuple[np.ndarray, np.nd
 
 
 _span_t = "array<struct<kind:string,start:int,`end`:int>>"
-_found_sql = f"row_key long, doc_id long, text_key long, base {_span_t}, pairs array<struct<e:long,t:long,c:long>>, entities array<long>, text string"
+_found_sql = f"row_key long, doc_id long, text_key long, base {_span_t}, secrets {_span_t}, pairs array<struct<e:long,t:long,c:long>>, entities array<long>, text string"
 _span_fields = [pa.field("kind", pa.string()), pa.field("start", pa.int32()), pa.field("end", pa.int32())]
 _pair_fields = [pa.field(c, pa.int64()) for c in "etc"]
 
@@ -175,10 +199,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, ROWS_OUT):
             batch = whole.slice(at, ROWS_OUT)
-            spans, pairs, entities, texts = [], [], [], []
+            spans, hidden, pairs, entities, texts = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
                 spans.append([(k, s, e) for k, found in base.items() for s, e in found])
+                hidden.append([("secret", s, e) for s, e in secrets(text or "", [x[1:] for x in spans[-1]])])
                 if spans[-1]:
                     near, told = _contexts(text, base)
                     pairs.append(near)
@@ -192,7 +217,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair_lists = _lists(pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], fields=_pair_fields), [len(p) for p in pairs])
             keys = pa.array(np.arange(key, key + batch.num_rows))
             key += batch.num_rows
-            yield pa.RecordBatch.from_arrays([keys, batch.column(0), batch.column(2), _span_lists(spans), pair_lists, _lists(pa.array(np.concatenate(entities)), [len(e) for e in entities]), pa.array(texts, pa.string())], names=["row_key", "doc_id", "text_key", "base", "pairs", "entities", "text"])
+            yield pa.RecordBatch.from_arrays([keys, batch.column(0), batch.column(2), _span_lists(spans), _span_lists(hidden), pair_lists, _lists(pa.array(np.concatenate(entities)), [len(e) for e in entities]), pa.array(texts, pa.string())], names=["row_key", "doc_id", "text_key", "base", "secrets", "pairs", "entities", "text"])
 
 
 def _filter_bits(keys: DataFrame) -> np.ndarray:
@@ -291,7 +316,7 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, whole.num_rows, ROWS_OUT):
             batch = whole.slice(at, ROWS_OUT)
             all_spans, counts, digests = [], {k: [] for k in KINDS[:4]}, []
-            for base, hits, text in zip(*(batch.column(c).to_pylist() for c in ("base", "hits", "text")), strict=True):
+            for base, hidden, hits, text in zip(*(batch.column(c).to_pylist() for c in ("base", "secrets", "hits", "text")), strict=True):
                 spans = [(b["kind"], b["start"], b["end"]) for b in base]
                 held = Counter(k for k, _, _ in spans)
                 for k, n in counts.items():
@@ -304,7 +329,7 @@ def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hit = np.isin(terms, np.fromiter(told, np.int64, len(told)))
                     more = [("removed" if told[t] == 2 else "general", s, e) for t, (s, e) in zip(terms[hit].tolist(), words[hit].tolist(), strict=True)]
                     spans += sorted(more, key=lambda x: (x[0] == "general", x[1]))
-                all_spans.append(spans)
+                all_spans.append(spans + [(b["kind"], b["start"], b["end"]) for b in hidden])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *(pa.array(n, pa.int64()) for n in counts.values()), pa.array(digests, pa.string()), _span_lists(all_spans)], names=["doc_id", "text_key", *(f"n_{k}" for k in counts), "base_sha256", "spans"])
 
 
@@ -316,7 +341,7 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE,
 
     Returns doc_id, text_key (xxhash64 of the text), n_email, n_ip, n_card,
     n_phone, base_sha256 and spans (base spans by kind and start, then removed
-    and generalised terms by start; code points, end exclusive). Null text is
+    and generalised terms and secrets by start; code points, end exclusive). Null text is
     empty and has no spans, a null doc_id stays null, repeated rows each give
     their row, an empty table gives none; other columns are ignored.
     """
@@ -327,7 +352,7 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, remove: float = REMOVE,
     held = held_pairs(found, candidates)
     told = staged(disclosures(found, candidates, held, document_counts(rows, candidates), remove, generalise), "pii-disclosures")
     hits = held.join(told.select("e", "t", "level"), ["e", "t"]).groupBy("row_key").agg(F.collect_list(F.struct("t", "level")).alias("hits"))
-    joined = found.join(hits, "row_key", "left").select("doc_id", "text_key", "base", "text", "hits")
+    joined = found.join(hits, "row_key", "left").select("doc_id", "text_key", "base", "secrets", "text", "hits")
     return joined.mapInArrow(_merge_spans, _merged_sql)
 
 
@@ -374,4 +399,4 @@ def sanitize(docs: DataFrame, **thresholds: float) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     shown = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", shown.alias("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", shown.alias("spans"), F.size("spans").cast("long").alias("n_private"))

@@ -188,6 +188,49 @@ def test_pii_disclosing_terms_far_from_the_entity(spark):
     assert not any("zorbax" in clean[i].lower() for i in range(9))
 
 
+def test_pii_levels_equal_the_definition(spark):
+    """Every (entity, term) of a small corpus: counts, PMI against IC and level, by loops over the documents."""
+    import math
+
+    rng, docs = random.Random(17), []
+    for i in range(160):
+        e = rng.choice(["ann@x.example", "bob@y.example", "10.0.0.7", None])
+        words = rng.choices(["zorbax", "vendel", "quill", "umber", "the", "note", "here"], [1, 1, 1, 1, 4, 4, 4], k=rng.randint(2, 9))
+        if e == "ann@x.example":
+            words += ["zorbax"] * (rng.random() < 0.9) + ["vendel"] * (rng.random() < 0.8)
+        words = [w for w in words if w not in ("zorbax", "vendel") or e == "ann@x.example" or rng.random() < {"zorbax": 0.02, "vendel": 0.12}[w]]
+        docs.append((i, " ".join([*words, *([e] if e else [])])))
+    want, total = {}, len(docs)
+    entities = {i: {w for w in t.split() if "@" in w or w.count(".") == 3} for i, t in docs}
+    terms = {i: {w for w in t.split() if w not in entities[i]} for i, t in docs}
+    for e in set().union(*entities.values()):
+        mine = [i for i in entities if e in entities[i]]
+        for t in set().union(*terms.values()):
+            both = [i for i in mine if t in terms[i]]
+            windows = {tuple(docs[i][1].split()[:-1][-8:]) for i in both if t in docs[i][1].split()[:-1][-8:]}
+            if len(windows) >= 3:
+                ratio = math.log2(len(both) * total / (len(mine) * sum(t in terms[i] for i in terms))) / math.log2(total / len(mine))
+                want |= {(i, t): "removed" if ratio >= 0.9 else "general" for i in both if ratio >= 0.8}
+    assert set(want.values()) == {"removed", "general"}
+    got = {}
+    for r in pii.find_spans(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got |= {(r.doc_id, docs[r.doc_id][1][s.start : s.end]): s.kind for s in r.spans if s.kind in ("removed", "general")}
+    assert got == want
+    clean = {r.doc_id: r.text for r in pii.sanitize(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(t not in clean[i].split() for i, t in want) and any("<WORD>" in t for t in clean.values())
+
+
+def test_pii_secrets(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    text = f'my token = "{key}"### and a-very-long-joined-word-of-letters 1234567890123456789012345 aaaaaaaaaaaaaaaaaaaaaaa1'
+    assert [text[s:e] for s, e in pii.secrets(text, [])] == [key]
+    long_mail = f"{key}@corp.example"
+    assert pii.secrets(long_mail, pii.base_spans(long_mail)["email"]) == [] and pii.secrets("x" * 50_000 + "7", []) == []
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    assert {r.doc_id: [s.kind for s in r.spans] for r in pii.find_spans(docs).collect()} == {1: ["secret"], 2: []}
+    assert key not in pii.sanitize(docs).filter("doc_id = 1").first().text
+
+
 def test_pii_edges(spark, docs, empty):
     assert pii.find_spans(docs).count() == len(ROWS) and pii.find_spans(empty).count() == 0
     out = pii.sanitize(docs)
@@ -377,6 +420,7 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
         v = base[i % 60] + rng.normal(size=16) * rng.choice([0, 0.05, 0.12, 0.3])
         rows.append((i, v.tolist(), int(i % 3)))
     rows += [(300, rows[0][1], 0), (301, [0.0] * 16, 0), (302, None, 0), (303, [float("nan")] * 16, 0), (304, rows[0][1], None), (305, [None] * 16, 1), (306, [], 1), (307, [float("inf")] * 16, 1), (None, rows[0][1], 0)]
+    rows += [(310, [1.0, 2.0, 3.0], 0), (311, [1.0, 2.0, 3.01], 0), (312, [3.0, 2.0, 1.0], 0), (313, [1.0, 2.0, 3.0], 1), (314, [2.0, 4.0, 6.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
     ok = {i: (np.asarray(v) / np.linalg.norm(v), lab) for i, v, lab in rows if i is not None and i <= 300}
@@ -395,6 +439,8 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(links[i]), seen[i], seen[i] == i)
     for i in (*range(301, 308), None):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    for i, links, first in ((310, 2, 310), (311, 2, 310), (312, 0, 312), (313, 0, 313), (314, 2, 310)):
+        assert (got[i].n_links, got[i].component_id) == (links, first)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -451,6 +497,38 @@ def test_language_bundle_equals_definition():
         assert (row == want).all()
 
 
+def test_language_score_depends_on_the_text_alone(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randint(1, 400))) for _ in range(60)]
+    alone = [langid.bundle([t], 256) for t in texts]
+    assert (langid.bundle(texts, 256) == np.concatenate(alone)).all()
+    model = langid.train(spark.createDataFrame([("abc def abc " * 30, "x"), ("ghij hij g " * 30, "y")], "text string, lang string"))
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    many = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1), model).collect()}
+    few = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(rows, "doc_id int, text string").repartition(40), model).collect()}
+    assert many == few and all(many[i] == many[i + 60] for i in range(60))
+
+
+def test_language_bundle_of_long_texts_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(langid, "GROUP_CHARS", 1000)
+    monkeypatch.setattr(langid, "GRAMS", 64)
+    text = langid.letters_of("".join(chr(0x4E00 + i * 7919 % 8000) for i in range(3000)) + " plain words here")
+    want = np.zeros((1, 128))
+    padded = np.frombuffer(f" {text} ".encode("utf-32-le"), "<u4")
+    v = langid.letter_vectors(padded, 128).astype(int)
+    for i in range(len(padded) - 2):
+        want += np.roll(v[i], 2) * np.roll(v[i + 1], 1) * v[i + 2]
+    assert (langid.bundle([text], 128) == want).all()
+    monkeypatch.undo()
+    big = "".join(chr(0x4E00 + i * 7919 % 8000) for i in range(400_000)) * 3
+    tracemalloc.start()
+    langid.bundle([big])
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.predict(d.filter(langid.held_out()), langid.train(langid.training_rows(d))).select("lang", "lang_pred").collect()
