@@ -123,17 +123,23 @@ def unify_metrics(df: DataFrame, source: Column) -> DataFrame:
     return df.select(*[c.alias(n) for n, c in out.items()], source.alias("source_file"))
 
 
+def files_by_header(spark: SparkSession, roots: list[str], keywords: tuple[str, ...]) -> dict[str, list[str]]:
+    """Paths of the metric files by their first line; the driver holds paths only, as any scan of them does."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(roots)
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"), "value")
+    named = lines.filter(F.lower(F.substring_index("path", "/", -1)).rlike("|".join(keywords)) & ~F.contains("path", F.lit(".ipynb_checkpoints")))
+    heads = named.groupBy("path").agg(F.min_by("value", "at").alias("header")).groupBy("header").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    return {r.header: r.paths for r in heads.collect()}
+
+
 def load_metrics(spark: SparkSession, roots: list[str], keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
-    """All CSV files under the roots whose name has a keyword (editor checkpoints aside), unified; files of other columns keep theirs."""
+    """All CSV files under the roots whose name has a keyword (editor checkpoints aside), unified: one scan for each kind of header."""
+    roots = [r for r in roots if exists(spark, r)]
     out = None
-    for root in roots:
-        if not exists(spark, root):
-            continue
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path").distinct()
-        for r in files.filter(F.lower(F.substring_index("path", "/", -1)).rlike("|".join(keywords)) & ~F.contains("path", F.lit(".ipynb_checkpoints"))).orderBy("path").collect():
-            rows = spark.read.option("header", True).csv(r.path)
-            part = unify_metrics(rows, F.lit(r.path.rsplit("/", 1)[-1]))
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    for header, paths in sorted(files_by_header(spark, roots, keywords).items()) if roots else ():
+        rows = spark.read.option("header", True).csv(paths).withColumn("_file", F.col("_metadata.file_name"))
+        part = unify_metrics(rows, F.col("_file"))
+        out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], ", ".join(f"`{c}` string" for c in (*ALIASES, "source_file")))
 
 

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+#: The sink's partition column and how many parts it has.
+BUCKET, BUCKETS = "key_bucket", 256
+
+
 def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 64) -> DataFrame:
     """Tail a directory of JSON-lines files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
@@ -35,14 +39,21 @@ def sessions(events: DataFrame, gap: str, late: str, by: list[str]) -> DataFrame
 
 
 def append_new(stream: DataFrame, sink: str, keys: list[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Append rows whose keys the sink doesn't hold; a replayed batch adds nothing."""
+    """Append rows whose keys the sink doesn't hold; a replayed batch adds nothing.
+
+    The sink is partitioned by ``BUCKET``, a hash of the keys in ``BUCKETS``
+    parts, and a batch looks for its keys only in the parts it falls into.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         spark, rows = df.sparkSession, transform(df).dropDuplicates(keys)
         from ..sources.files import exists
 
+        rows = rows.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int"))
         if exists(spark, f"{sink}/_SUCCESS"):
-            rows = rows.join(spark.read.parquet(sink).select(*keys), keys, "left_anti")
-        rows.write.mode("append").parquet(sink)
+            touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most BUCKETS numbers
+            known = spark.read.parquet(sink).filter(F.col(BUCKET).isin(touched)).select(*keys)
+            rows = rows.join(known, keys, "left_anti")
+        rows.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(sink)  # one file a part
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
