@@ -2,8 +2,9 @@
 
 Centroids are learned for each of the ``LENGTHS`` commonest vector lengths from
 a bounded sample (``SAMPLE`` vectors by hash of their id); they only decide
-where vectors meet, never whether they are linked. Vectors of a rarer length
-meet in one cell for their length and label.
+where vectors meet, never whether they are linked. Vectors of a rarer length,
+and those of a label with fewer than two cells' worth, meet in one cell for
+their length and label.
 A vector lives in its nearest cell and also visits every cell whose border is
 within the link distance d = sqrt(2 - 2 * threshold): for unit vectors x in
 cell c and y in cell c', x.(c - c') >= 0, so |x - y| <= d needs
@@ -56,9 +57,9 @@ _assigned = pa.schema([("label", pa.string()), ("cell", pa.int32()), ("home", pa
 def _assign(classes: DataFrame, centroids: dict[int, np.ndarray], threshold: float) -> DataFrame:
     reach = (2 - 2 * threshold) ** 0.5 + 1e-9
 
-    def place(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def place(unit: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, whether its home) of each cell that a vector lives in or visits."""
-        centers = centroids.get(unit.shape[1])
+        centers = centroids.get(unit.shape[1]) if large else None
         if centers is None:
             return np.arange(len(unit)), np.zeros(len(unit), np.int64), np.ones(len(unit), bool)
         cosine = unit @ centers.T
@@ -72,15 +73,16 @@ def _assign(classes: DataFrame, centroids: dict[int, np.ndarray], threshold: flo
             for at in range(0, whole.num_rows, 1024):
                 some = whole.slice(at, 1024)
                 lengths = some.column("embedding").value_lengths().to_numpy()
-                for d in np.unique(lengths):
-                    batch = some.take(pa.array(np.flatnonzero(lengths == d)))
+                large = some.column("large").to_numpy(zero_copy_only=False)
+                for d, many in sorted(set(zip(lengths.tolist(), large.tolist(), strict=True))):
+                    batch = some.take(pa.array(np.flatnonzero((lengths == d) & (large == many))))
                     unit = _unit(batch.column("embedding"))
-                    row, cell, home = place(unit)
+                    row, cell, home = place(unit, many)
                     raw, take = pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(row)
                     yield pa.RecordBatch.from_arrays([batch.column("label").take(take), pa.array(cell, pa.int32()), pa.array(home), batch.column("rep").take(take), batch.column("w").take(take), raw.take(take)], schema=_assigned)
 
     within = F.concat_ws(":", F.size("embedding").cast("string"), "label").alias("label")  # vectors of different lengths never meet
-    return classes.select(within, "rep", "w", "embedding").mapInArrow(run, "label string, cell int, home boolean, rep long, w long, unit binary")
+    return classes.select(within, "rep", "w", "embedding", "large").mapInArrow(run, "label string, cell int, home boolean, rep long, w long, unit binary")
 
 
 _linked = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
@@ -192,7 +194,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             sample = classes.filter(F.size("embedding") == r.d).select("embedding", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(SAMPLE).select("embedding").toArrow()["embedding"]
             k = min(r["count"] // VECTORS_PER_CELL, max(1, len(sample) // SAMPLED_PER_CELL))
             centroids[r.d] = spherical_kmeans(_unit(sample.combine_chunks()), k)
-    placed = staged(_assign(classes, centroids, threshold), "vector-cells")
+    crowds = classes.groupBy("label", F.size("embedding").alias("d")).agg((F.count(F.lit(1)) >= 2 * VECTORS_PER_CELL).alias("large"))
+    sized = classes.withColumn("d", F.size("embedding")).join(crowds, ["label", "d"])
+    placed = staged(_assign(sized, centroids, threshold), "vector-cells")
     blocks = placed.filter("home").groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     met = placed.join(blocks, ["label", "cell"])
     homes = met.filter("home").select("label", "cell", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "rep", "w", "unit")
