@@ -461,11 +461,21 @@ def audited_records(spark: SparkSession, sf: str) -> DataFrame:
     return r.withColumn("parser_status", status).withColumn("width", F.lit(1000)).withColumn("height", F.lit(300)).withColumn("pipeline", F.when(F.col("page_id") % 2 == 0, "mineru").otherwise("ppstructure"))
 
 
-@query("dq02_parse_anomalies", f"""WITH {_BLOCKS}, a AS (SELECT d.doc_id AS page_id, CASE WHEN d.doc_id % 17 = 0 THEN 'failed' WHEN d.doc_id % 23 = 0 THEN 'odd' WHEN EXISTS (SELECT 1 FROM o WHERE o.page_id = d.doc_id) THEN 'success' ELSE 'empty' END AS st, coalesce((SELECT max(y) FROM o WHERE o.page_id = d.doc_id), 0) AS y FROM documents d)
-SELECT 'unknown_status' AS reason, count(*) AS n FROM a WHERE st = 'odd' UNION ALL SELECT 'out_of_page', count(*) FROM a WHERE y + 24 > 310""")
+@query("dq02_parse_anomalies", f"""WITH {_BLOCKS}, a AS (SELECT d.doc_id AS p, CASE WHEN d.doc_id % 17 = 0 THEN 'failed' WHEN d.doc_id % 23 = 0 THEN 'odd' WHEN EXISTS (SELECT 1 FROM o WHERE o.page_id = d.doc_id) THEN 'success' ELSE 'empty' END AS st, (SELECT max(y) FROM o WHERE o.page_id = d.doc_id) AS y FROM documents d),
+b AS (SELECT *, y IS NOT NULL AND p % 37 <> 9 AS has FROM a),
+r AS (SELECT 'unknown_status' AS reason, count(*) AS n FROM b WHERE st = 'odd' UNION ALL SELECT 'empty_text', count(*) FROM b WHERE st = 'success' AND p % 19 = 3 UNION ALL SELECT 'no_blocks', count(*) FROM b WHERE st = 'success' AND p % 37 = 9
+ UNION ALL SELECT 'bad_bbox', count(*) FROM b WHERE has AND p % 31 = 7 UNION ALL SELECT 'out_of_page', count(*) FROM b WHERE has AND p % 31 <> 7 AND y + 24 > 310 UNION ALL SELECT 'duplicate_block', count(*) FROM b WHERE has AND p % 29 = 5
+ UNION ALL SELECT 'unrelated_text', count(*) FROM b WHERE st = 'success' AND p % 19 <> 3 AND (p % 41 = 11 OR p % 37 = 9))
+SELECT * FROM r WHERE n > 0""")
 def dq02(spark: SparkSession, sf: str) -> DataFrame:
-    found = audits.anomalies(audited_records(spark, sf), ["page_id", "pipeline"], audits.parse_checks())
-    return found.filter(F.col("reason").isin("unknown_status", "out_of_page")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """Parse records with faults of every kind planted by page number."""
+    p = F.col("page_id")
+    upside_down = F.transform("blocks", lambda b: b.withField("bbox", F.array(*map(F.lit, (9.0, 9.0, 1.0, 1.0)))))
+    blocks = F.when(p % 37 == 9, F.slice("blocks", 1, 0)).when(p % 31 == 7, upside_down).otherwise(F.col("blocks"))
+    rows = audited_records(spark, sf).withColumn("blocks", blocks).withColumn("blocks", F.when(p % 29 == 5, F.concat("blocks", F.slice("blocks", 1, 1))).otherwise(F.col("blocks")))
+    rows = rows.withColumn("page_text", F.when(p % 19 == 3, "").when(p % 41 == 11, "zzz qqq").otherwise(F.col("page_text")))
+    found = audits.anomalies(rows, ["page_id", "pipeline"], audits.parse_checks())
+    return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("dq03_readiness")
