@@ -14,6 +14,7 @@ from ..sources import files
 from ..sources import fixtures as fx
 from .damage import match_of
 from .registry import query
+from .text import LINES_SQL, sql_norm, sql_tokens
 
 _scratch: list[str] = []
 
@@ -328,7 +329,8 @@ def prj06(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("page_id", F.col("id").cast("long").alias("id"), "x", "y", "w", "h", F.md5("text").alias("text_md5"))
 
 
-@query("nest01_07_spans")
+@query("nest01_07_spans", """WITH l AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
+SELECT page_id, CAST(count(*) AS INT) AS n_items, md5(coalesce(string_agg(t || ' ' || t, ' ' ORDER BY pos) FILTER (t <> ''), '')) AS text_md5, 2 * count(*) AS n_spans FROM l GROUP BY page_id""")
 def nest01(spark: SparkSession, sf: str) -> DataFrame:
     span = F.struct(F.array(*map(F.lit, (0.0, 0.0, 10.0, 5.0))).alias("bbox"), F.col("text").alias("content"), F.lit("text").alias("type"))
     block = F.struct(F.array(*(F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))).alias("bbox"), F.lit("text").alias("type"), F.array(F.struct(F.array(span, span).alias("spans"))).alias("lines"))
@@ -478,13 +480,18 @@ def dq02(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dq03_readiness")
+@query("dq03_readiness", f"""WITH {_BLOCKS}, j AS (SELECT page_id, count(*) AS n, sum(length(t)) + count(*) - 1 AS chars FROM o GROUP BY 1),
+a AS (SELECT doc_id AS p, CASE WHEN doc_id % 2 = 0 THEN 'mineru' ELSE 'ppstructure' END AS pipeline, CASE WHEN doc_id % 17 = 0 THEN 'failed' WHEN doc_id % 23 = 0 THEN 'odd' WHEN n > 0 THEN 'success' ELSE 'empty' END AS st, coalesce(n, 0) AS n, coalesce(chars, 0) AS chars FROM documents d LEFT JOIN j ON j.page_id = doc_id),
+per AS (SELECT pipeline, count(*) AS rows, count(*) FILTER (st = 'success') AS success, count(*) FILTER (st = 'empty') AS empty, count(*) FILTER (st = 'failed') AS failed, count(*) FILTER (chars = 0) AS empty_text, coalesce(avg(chars) FILTER (st IN ('success', 'empty')), 0) AS mean_chars, coalesce(median(n) FILTER (st IN ('success', 'empty')), 0)::DOUBLE AS median_blocks, CAST(0 AS BIGINT) AS duplicates FROM a GROUP BY 1),
+b AS (SELECT CAST(0 AS BIGINT) AS both_success, count(*) FILTER (st = 'success' AND pipeline = 'mineru') AS only_a, count(*) FILTER (st = 'success' AND pipeline <> 'mineru') AS only_b, count(*) FILTER (st <> 'success') AS both_failed FROM a)
+SELECT per.* EXCLUDE (mean_chars), round(mean_chars, 6) AS mean_chars, b.*, 'both_success_pages;both_non_empty_text_pages' || CASE WHEN mean_chars < 100 THEN ';average_page_text_length' ELSE '' END AS reasons, false AS ready FROM per, b""")
 def dq03(spark: SparkSession, sf: str) -> DataFrame:
     r = audited_records(spark, sf)
     audit = audits.parse_audit(r, ["pipeline"])
     both = audits.pipeline_overlap(r.filter("pipeline = 'mineru'"), r.filter("pipeline = 'ppstructure'"))
     rows = audit.crossJoin(F.broadcast(both))  # one row
-    return audits.ready_for_qa(rows, F.col("both_success"), F.col("both_success"), F.lit(0))
+    ready = audits.ready_for_qa(rows, F.col("both_success"), F.col("both_success"), F.lit(0))
+    return ready.withColumn("reasons", F.array_join("reasons", ";")).withColumn("mean_chars", F.round("mean_chars", 6))
 
 
 @query("join14_pipeline_overlap", """WITH d AS (SELECT doc_id, doc_id % 3 <> 0 AS a, doc_id % 4 <> 0 AS b FROM documents)
@@ -538,7 +545,9 @@ def plan22(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "documents").groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("txt19_21_sources")
+@query("txt19_21_sources", f"""WITH p AS ({LINES_SQL}), n AS (SELECT d.doc_id, d.text, l, {sql_norm("replace(d.text, 'e', 'e ')")} AS np FROM documents d JOIN p USING (doc_id)),
+s AS (SELECT doc_id, text, array_to_string((list_filter(l, lambda s: len({sql_tokens(sql_norm('s'))}) <= 35 AND contains(np, {sql_norm('s')})))[1:60], chr(10)) AS shared FROM n)
+SELECT doc_id, CASE WHEN length(shared) >= 800 THEN 'shared' WHEN length(replace(text, 'e', 'e ')) <= length(text) * 1.1::DOUBLE THEN 'mineru' ELSE 'ppstructure' END AS source, CAST(length(shared) AS INT) AS n_shared FROM s""")
 def txt21(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import qa
 

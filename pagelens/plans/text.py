@@ -109,8 +109,11 @@ def txt18(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.round(tx.bad_char_ratio(F.col("text")), 9).alias("bad"))
 
 
-@query("txt20_lines", r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '[\n\r]+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: length(s) BETWEEN 8 AND 220) AS l FROM documents)
-SELECT doc_id, CAST(len(l) AS INT) AS n_lines, md5(array_to_string(l, chr(10))) AS lines_md5 FROM p""")
+#: Each document's lines in DuckDB.
+LINES_SQL = r"""SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '[\n\r]+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: length(s) BETWEEN 8 AND 220) AS l FROM documents"""
+
+
+@query("txt20_lines", f"WITH p AS ({LINES_SQL}) SELECT doc_id, CAST(len(l) AS INT) AS n_lines, md5(array_to_string(l, chr(10))) AS lines_md5 FROM p")
 def txt20(spark: SparkSession, sf: str) -> DataFrame:
     lines = tx.split_lines(F.col("text"))
     return docs(spark, sf).select("doc_id", F.size(lines).alias("n_lines"), F.md5(F.array_join(lines, "\n")).alias("lines_md5"))
