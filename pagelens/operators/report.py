@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import finite, mean_of_ratios, r_squared, spearman
+from .stats import finite, mean_of_ratios, r_squared, spearman, steady_mean
 
 LEVELS, PATHWAYS = ("tor", "acr", "bpo", "boc", "eir"), ("slr_miss", "slr_topo")
 CHANNELS = {"composite": "b_slr", "iou_only": "b_slr_iou_only", "text_only": "b_slr_text_only"}
@@ -34,8 +34,9 @@ RANKED = [("coupling", "rho_iou_text", "b_slr_iou_only", "b_slr_text_only"), ("f
 
 
 def config_table(metrics: DataFrame) -> DataFrame:
-    """Means of all columns by config; nulls and NaN are left out."""
-    return metrics.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_rows"), *(F.avg(finite(c)).alias(c) for c in COLUMNS))
+    """Means of all columns by config; nulls and NaN are left out. Where they are ranked, equal ones tie."""
+    ranked = {c for _, _, *xy in RANKED for c in xy}
+    return metrics.groupBy("config_id").agg(F.count(F.lit(1)).alias("n_rows"), *((steady_mean(c) if c in ranked else F.avg(finite(c))).alias(c) for c in COLUMNS))
 
 
 def _long(table: DataFrame, pairs: list[tuple[str, str, str, str]]) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagelens.operators import detection, evaluation, external, masks, matching, parse_records, planning, qa, raster, retrieval, stats
+from pagelens.operators import detection, evaluation, external, masks, matching, parse_records, planning, qa, raster, report, retrieval, stats
 from pagelens.operators import pages as page_sets
 from pagelens.sources import files
 
@@ -424,3 +424,12 @@ def test_sql_functions(spark):
     spark.createDataFrame([("a", 1.0), ("a", None), ("b", None)], "g string, v double").createOrReplaceTempView("some_values")
     assert {r.g: r.m for r in spark.sql("SELECT g, pl_safe_mean(v) AS m FROM some_values GROUP BY g").collect()} == {"a": 1.0, "b": 0.0}
     assert spark.sql("SELECT pl_similarity('abc', 'axc') AS s").first().s == 2 / 3
+
+
+def test_config_means_tie_whatever_the_order(spark):
+    """Sums of 0.1, 0.2, 0.3 differ by their order; ranks of config means must not."""
+    values = {"A": [0.1, 0.2, 0.3], "B": [0.3, 0.2, 0.1], "C": [None, float("nan"), 0.2], "D": [600.0, -0.5, 0.5], "E": [float("inf"), 1.0, 1.0], "F": [None, None, None], "G": [-0.25, -0.5, -0.75]}
+    rows = [(k, *[v] * len(report.COLUMNS)) for k, vs in values.items() for v in vs]
+    metrics = spark.createDataFrame(rows, "config_id string, " + ", ".join(f"{c} double" for c in report.COLUMNS)).coalesce(1)
+    mean = {r.config_id: r.b_slr for r in report.config_table(metrics).collect()}
+    assert mean["A"] == mean["B"] == mean["C"] == 0.2 and mean["D"] == 200.0 and mean["E"] == float("inf") and mean["F"] is None and mean["G"] == -0.5
