@@ -433,3 +433,20 @@ def test_config_means_tie_whatever_the_order(spark):
     metrics = spark.createDataFrame(rows, "config_id string, " + ", ".join(f"{c} double" for c in report.COLUMNS)).coalesce(1)
     mean = {r.config_id: r.b_slr for r in report.config_table(metrics).collect()}
     assert mean["A"] == mean["B"] == mean["C"] == 0.2 and mean["D"] == 200.0 and mean["E"] == float("inf") and mean["F"] is None and mean["G"] == -0.5
+
+
+def test_pages_searched_in_place_equal_the_index(spark):
+    """Hits of a page scored where it lies are those over the index tables, and nothing is shuffled for them."""
+    rng = np.random.default_rng(9)
+    texts = {p: [" ".join(f"w{w}" for w in rng.integers(0, 12, rng.integers(0, 9))) for _ in range(n)] for p, n in enumerate((1, 2, 15, 40, 3))}
+    asked = {p: [{"qa_id": f"{p}_{i}", "question": " ".join(f"w{w}" for w in rng.integers(0, 14, 5)), "gold": texts[p][-1][:5]} for i in range(3 if p != 1 else 0)] for p in texts}
+    pages = spark.createDataFrame([(p, texts[p], asked[p]) for p in texts] + [(7, None, None)], "page_id long, chunks array<string>, queries array<struct<qa_id:string,question:string,gold:string>>")
+    found = retrieval.search_pages(pages, {"hit": "gold"})
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.qa_id, h.rank): (h.chunk_index, round(h.score, 6), h.hit) for r in found.collect() for h in r.hits}
+    chunks = spark.createDataFrame([(p, i, t) for p, ts in texts.items() for i, t in enumerate(ts)], "page_id long, chunk_index int, text string")
+    queries = spark.createDataFrame([(q["qa_id"], p, q["question"]) for p, qs in asked.items() for q in qs], "qa_id string, page_id long, question string")
+    gold = {q["qa_id"]: (p, q["gold"]) for p, qs in asked.items() for q in qs}
+    held = lambda r: int(gold[r.qa_id][1] != "" and gold[r.qa_id][1] in texts[r.page_id][r.chunk_index])
+    want = {(r.qa_id, r["rank"]): (r.chunk_index, round(r.score, 6), held(r)) for r in retrieval.bm25(retrieval.build_index(chunks), queries, digits=9).collect()}
+    assert got == want and len(want) > 60
