@@ -1,6 +1,7 @@
 """Registered queries against their DuckDB forms on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -47,3 +48,9 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["join10_flatten_runs", "agg19_run_rates", "agg19_run_rates_by_page", "agg19_run_rates_by_type", "ret11_14_ranking_metrics"])
+def test_runs_shuffle_no_postings(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not re.search(r"hashpartitioning\([^)]*(term|chunk_index)#", plan)
