@@ -58,6 +58,15 @@ def _alike(a: str, b: str) -> float:
     return 0.0 if not b else 1.0 if a == b else similarity(a, b)
 
 
+def _firsts(match: np.ndarray, laps: np.ndarray) -> np.ndarray:
+    """Places of the first largest overlap of each match; a match's pairs stand together."""
+    if not len(match):
+        return np.zeros(0, int)
+    first = np.flatnonzero(np.r_[True, match[1:] != match[:-1]])
+    best = np.flatnonzero(laps == np.repeat(np.maximum.reduceat(laps, first), np.diff(np.r_[first, len(laps)])))
+    return best[np.r_[True, match[best][1:] != match[best][:-1]]]
+
+
 def _rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     """Numbers of the batch's groups (page, config) and matches (group, clean element), the best perturbed element beside each match."""
     at, xywh = struct_columns(batch.column("clean"), ("x", "y", "w", "h"))
@@ -85,14 +94,9 @@ def _rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     p_match, p_adv, inter = p_match[hit], p_adv[hit], inter[hit]
     laps = inter / (c_area[m_elem[p_match]] + a_area[p_adv] - inter)
     iou, adv = np.zeros(len(m_elem)), np.full(len(m_elem), -1)
-    if len(hit):
-        first = np.flatnonzero(np.r_[True, p_match[1:] != p_match[:-1]])
-        top = np.maximum.reduceat(laps, first)
-        iou[p_match[first]] = top
-        best = np.flatnonzero(laps == np.repeat(top, np.diff(np.r_[first, len(laps)])))
-        best = best[np.r_[True, p_match[best][1:] != p_match[best][:-1]]]  # the lowest adv_id of equals
-        adv[p_match[best]] = order[p_adv[best]]
-    return {"g_page": g_page, "m_group": m_group, "m_elem": m_elem, "iou": iou, "adv": adv, "box": np.stack(xywh), "mask": np.stack(mask), "n_adv": len(order)}
+    best = _firsts(p_match, laps)
+    iou[p_match[best]], adv[p_match[best]] = laps[best], order[p_adv[best]]
+    return {"g_page": g_page, "m_group": m_group, "m_elem": m_elem, "iou": iou, "adv": adv, "box": np.stack(xywh), "mask": np.stack(mask), "n_adv": len(order), "a_count": a_count, "p_match": p_match, "p_adv": p_adv, "laps": laps, "order": order}
 
 
 def _similar(batch: pa.RecordBatch, r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -116,26 +120,116 @@ def _under(r: dict[str, np.ndarray], page_w: int, page_h: int) -> tuple[np.ndarr
     return cover, (np.maximum(0, x2 - x1) * np.maximum(0, y2 - y1))[e]
 
 
+def _paths(batch: pa.RecordBatch, r: dict[str, np.ndarray], worded: np.ndarray, alike: np.ndarray, cover: np.ndarray, box: np.ndarray, iou: float, similar: float, occluded: float) -> list[np.ndarray]:
+    """The columns of ``DECOMPOSED`` after its keys."""
+    (mine, other), kinds = codes(texts_of(batch.column("clean"), "type"), texts_of(batch.column("adv"), "type"))
+    named = np.asarray([bool(k) for k in kinds] or [False], bool)
+    matched, e, a = r["iou"] >= iou, r["m_elem"], r["adv"]
+    lost = ~matched | (worded & (alike < similar))
+    sharing = np.bincount(a[matched & (a >= 0)], minlength=max(1, r["n_adv"]))[a]
+    theirs = other[a] if len(other) else np.zeros(len(a), int)
+    retyped = (a >= 0) & named[mine[e]] & named[theirs] & (mine[e] != theirs)
+    path = np.select([~lost, (box > 0) & (cover / np.maximum(box, 1) >= occluded), matched & (sharing > 1), matched & retyped], [4, 0, 1, 2], 3)
+    groups = len(r["g_page"])
+    n = np.bincount(r["m_group"] * 5 + path, minlength=groups * 5).reshape(groups, 5)
+    total, topo = n.sum(1), n[:, 1:4].sum(1)
+    return [n[:, 0] / total, topo / total, (n[:, 0] + topo) / total, *n.T, total]
+
+
+def _made(batch: pa.RecordBatch, r: dict[str, np.ndarray], columns: list[np.ndarray], schema: str) -> pa.RecordBatch:
+    keys = [batch.column("page_id").take(pa.array(r["g_page"])), texts_of(batch.column("masks"), "config_id")]
+    return pa.RecordBatch.from_arrays([*keys, *map(pa.array, columns)], names=[f.split()[0] for f in schema.split(", ")])
+
+
 def decomposed_loss(clean: DataFrame, adv: DataFrame, masks: DataFrame, iou: float = IOU, similar: float = SIMILAR, occluded: float = OCCLUDED) -> DataFrame:
     """``matching.decomposed_loss`` of the best matches, page by page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             r = _rows(batch)
-            worded, alike = _similar(batch, r)
-            cover, box = _under(r, PAGE_W, PAGE_H)
-            (mine, other), kinds = codes(texts_of(batch.column("clean"), "type"), texts_of(batch.column("adv"), "type"))
-            named = np.asarray([bool(k) for k in kinds] or [False], bool)
-            matched, e, a = r["iou"] >= iou, r["m_elem"], r["adv"]
-            lost = ~matched | (worded & (alike < similar))
-            sharing = np.bincount(a[matched & (a >= 0)], minlength=max(1, r["n_adv"]))[a]
-            theirs = other[a] if len(other) else np.zeros(len(a), int)
-            retyped = (a >= 0) & named[mine[e]] & named[theirs] & (mine[e] != theirs)
-            path = np.select([~lost, (box > 0) & (cover / np.maximum(box, 1) >= occluded), matched & (sharing > 1), matched & retyped], [4, 0, 1, 2], 3)
-            groups = len(r["g_page"])
-            n = np.bincount(r["m_group"] * 5 + path, minlength=groups * 5).reshape(groups, 5)
-            total, topo = n.sum(1), n[:, 1:4].sum(1)
-            columns = [n[:, 0] / total, topo / total, (n[:, 0] + topo) / total, *n.T, total]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(pa.array(r["g_page"])), texts_of(batch.column("masks"), "config_id"), *map(pa.array, columns)], names=[f.split()[0] for f in DECOMPOSED.split(", ")])
+            yield _made(batch, r, _paths(batch, r, *_similar(batch, r), *_under(r, PAGE_W, PAGE_H), iou, similar, occluded), DECOMPOSED)
 
     return page_arrays(clean, adv, masks).mapInArrow(run, DECOMPOSED)
+
+
+@lru_cache(maxsize=100_000)
+def error_rate(reference: str, found: str) -> float:
+    """``cer`` of two texts: Levenshtein distance over the reference's length, case-folded and stripped."""
+    a, b = reference.strip(BLANK).lower(), found.strip(BLANK).lower()
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1] / len(a) if a else 0.0
+
+
+def _rates(batch: pa.RecordBatch, r: dict[str, np.ndarray], adv: np.ndarray) -> np.ndarray:
+    """Error rate of each match's text against ``adv``'s, 1 where that is -1; each pair of texts is compared once a batch."""
+    (mine, said), texts = codes(texts_of(batch.column("clean"), "text"), texts_of(batch.column("adv"), "text"))
+    out = np.ones(len(adv))
+    at = np.flatnonzero(adv >= 0)
+    pairs, back = np.unique(mine[r["m_elem"][at]].astype(np.int64) * len(texts) + said[adv[at]], return_inverse=True)
+    out[at] = np.asarray([error_rate(texts[p // len(texts)] or "", texts[p % len(texts)] or "") for p in pairs.tolist()], float)[back]
+    return out
+
+
+def _greedy(batch: pa.RecordBatch, r: dict[str, np.ndarray], worded: np.ndarray) -> np.ndarray:
+    """For each match the perturbed element that ``matching.greedy_matches`` gives it, or -1: all pages' first worded blocks, then all second ones."""
+    _, (elem,) = struct_columns(batch.column("clean"), ("elem_id",))
+    turn, order = np.zeros(len(worded), int), np.lexsort((elem[r["m_elem"]], r["m_group"]))
+    seen = np.cumsum(worded[order])
+    group = r["m_group"][order]
+    start = np.searchsorted(group, group)
+    turn[order] = seen - (seen[start] - worded[order][start]) - 1 if len(order) else 0
+    keep = np.flatnonzero(worded[r["p_match"]])
+    keep = keep[np.argsort(turn[r["p_match"][keep]], kind="stable")]
+    ends = np.cumsum(np.bincount(turn[r["p_match"][keep]]))
+    free, picks = np.ones(r["n_adv"], bool), np.full(len(worded), -1)
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        at = keep[lo:hi]
+        at = at[free[r["p_adv"][at]]]
+        best = at[_firsts(r["p_match"][at], r["laps"][at])]
+        picks[r["p_match"][best]] = r["order"][r["p_adv"][best]]
+        free[r["p_adv"][best]] = False
+    return picks
+
+
+METRICS = "page_id long, config_id string, tor double, boc double, eir double, " + DECOMPOSED.split(", ", 2)[2] + ", text_sim_mean double, text_sim_min double, cer_mean double, n_matched long, n_text_degraded long, b_slr_text_only double, splash double, n_lost long, delta_cer double, eir_det double"
+
+
+def metric_rows(clean: DataFrame, adv: DataFrame, masks: DataFrame, margin: int = 20) -> DataFrame:
+    """``matching.metric_rows`` in one fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = _rows(batch)
+            worded, alike = _similar(batch, r)
+            cover, box = _under(r, PAGE_W, PAGE_H)
+            g, groups = r["m_group"], len(r["g_page"])
+            count = lambda rows: np.bincount(g[rows], minlength=groups)  # noqa: E731,B023
+            total = np.maximum(1, np.bincount(g, minlength=groups))
+
+            def mean(values: np.ndarray, rows: np.ndarray, empty: np.ndarray | float) -> np.ndarray:
+                n = count(rows)  # noqa: B023
+                return np.where(n > 0, np.bincount(g[rows], values[rows], groups) / np.maximum(1, n), empty)  # noqa: B023
+
+            mx1, my1, mx2, my2 = r["mask"]
+            tor = np.maximum(0, (np.minimum(mx2, PAGE_W) - np.maximum(mx1, 0)) * (np.minimum(my2, PAGE_H) - np.maximum(my1, 0))) / float(PAGE_W * PAGE_H)
+            x, y, w, h = r["box"][:, r["m_elem"]]
+            mx1, my1, mx2, my2 = r["mask"][:, g]
+            touched = (np.minimum(np.minimum(PAGE_W, np.rint(x + w / 2)), mx2) > np.maximum(np.maximum(0, np.rint(x - w / 2)), mx1)) & (np.minimum(np.minimum(PAGE_H, np.rint(y + h / 2)), my2) > np.maximum(np.maximum(0, np.rint(y - h / 2)), my1))
+            missed = r["iou"] < IOU
+            near, none = worded & ~missed, r["a_count"] == 0
+            least = np.full(groups, np.inf)
+            np.minimum.at(least, g[near], alike[near])
+            least = np.where(np.isinf(least), np.where(none, 0.0, 1.0), least)
+            degraded = count(near & (alike < SIMILAR))
+            far = (x < mx1 - margin) | (x > mx2 - 1 + margin) | (y < my1 - margin) | (y > my2 - 1 + margin)
+            cer_mean = mean(_rates(batch, r, r["adv"]), worded, 1.0)
+            columns = [tor, count(touched) / total, count(cover >= 1) / total, *_paths(batch, r, worded, alike, cover, box, IOU, SIMILAR, OCCLUDED)]
+            columns += [mean(alike, near, np.where(none, 0.0, 1.0)), least, cer_mean, count(worded), degraded, degraded / total]
+            columns += [count(missed & far) / np.maximum(1, count(missed)), count(missed), mean(_rates(batch, r, _greedy(batch, r, worded)), worded, 1.0), count(missed) / total]
+            yield _made(batch, r, columns, METRICS)
+
+    return page_arrays(clean, adv, masks).mapInArrow(run, METRICS).withColumn("b_slr_per_tor", F.try_divide("b_slr", "tor"))

@@ -468,3 +468,7 @@ def test_page_fold_equals_matches(spark, pages):
         found = page_metrics.decomposed_loss(clean, adv, masks_)
         assert not re.search(r"hashpartitioning\([^)]*(config_id|adv_id|elem_id)#", found._jdf.queryExecution().executedPlan().toString())
         assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.select(*found.columns).collect()}
+        rows = page_metrics.metric_rows(clean, adv, masks_)
+        assert not re.search(r"hashpartitioning\([^)]*(config_id|adv_id|elem_id)#", rows._jdf.queryExecution().executedPlan().toString())
+        near = lambda df: {(r.page_id, r.config_id): tuple(-1.0 if v is None else round(v, 9) for v in r[2:]) for r in df.select(*rows.columns).collect()}
+        assert near(rows) == near(matching.metric_rows(clean, adv, masks_))
